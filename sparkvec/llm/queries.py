@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvec.llm import chat, decontaminate, line_crf, line_dedup, packing, quality_rules, secrets, simhash, toxicity
+from sparkvec.llm import chat, decontaminate, html_template, line_crf, line_dedup, packing, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_packing": packing.op6_packing,
     "op7_chat": chat.op7_chat,
+    "op8_html_template": html_template.op8_html_template,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_crf": line_crf.op10_line_crf,
 }

@@ -6,8 +6,8 @@ never built: each is summarised by sums of hashes of (page, count) over all page
 aggregation, so a host of a third of all pages is no heavier for any task. A class is large and frequent enough to be valid if
 most pages of the host carry it; valid classes nest by their paths into the host's template, whose tokens bound slots.
 Slots inside navigation, headers, footers, side matter, notices, adverts, forms, comments and code go, as do those that hold
-little but links; what remains, the article where the template has one, is the page's main text. A page that lacks its
-host's template, or whose host has too few pages, is extracted by its own tokens, as a template of one page.
+little but links; what remains, the article where the template has one, is the page's main text. Blocks
+of text are tokens too where a page marks no main container: text that most pages of a host share is template, not slot.
 
 Text keeps its order: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by two line feeds. Nothing else is dropped or cut.
@@ -33,13 +33,20 @@ from sparkvec.llm.common import cut, table
 
 #: Share of a host's pages that a valid class must occur on.
 SUPPORT = 0.5
+#: Pages that must carry a block of text before it can be the template's.
+LEAST_PAGES = 5
 #: Rows of all hosts' templates that are broadcast, at most; beyond that pages are joined by host.
 MAX_BROADCAST = 20_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.DOTALL)
+_RAW = "script|style|textarea|noscript|template|iframe|title|svg|math|canvas|object|select"
+#: A comment, a raw element with its contents, a tag, a declaration, or text.
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<((?i:{_RAW}))\b([^>]*)>(?:(?<=/>)|.*?(?:</(?i:\1)\s*>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>|<[!?][^>]*>|([^<]+|<)",
+    re.DOTALL,
+)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_CLOSERS = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "noscript", "template", "iframe", "title", "svg", "math", "canvas", "object", "select")}
-_SPACE = re.compile(r"\s+")
+_TELLS = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -60,33 +67,9 @@ MAIN_TAGS = ("article", "main")
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|entry|story|body-?text)(?:[^a-z]|$)")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("<", tag, attributes), (">", tag, "") and ("", text, "") of a page, comments and raw elements' contents left out."""
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a "<" whose tag never ends
-            yield "", page[at], ""
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            yield "", m[4], ""
-        elif m[2] is not None:
-            tag = m[2].lower()
-            if m[1]:
-                yield ">", tag, ""
-                continue
-            yield "<", tag, m[3]
-            if tag in _CLOSERS and not m[3].endswith("/"):
-                closer = _CLOSERS[tag].search(page, at)
-                at = closer.end() if closer else end
-                yield ">", tag, ""
-
-
 def _names(attributes: str) -> tuple[str, bool]:
     """(class, id and role of a tag, whether it is hidden)."""
-    if "=" not in attributes and "hidden" not in attributes:
+    if not _TELLS.search(attributes):
         return "", False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = " ".join(found[k] for k in ("class", "id", "role") if found.get(k)).lower()
@@ -95,11 +78,14 @@ def _names(attributes: str) -> tuple[str, bool]:
 
 
 class Node:
-    __slots__ = ("blocks_before", "hidden", "link_chars", "main", "names", "parent", "path", "side", "tag", "text_chars")
+    __slots__ = ("main", "parent", "path", "side", "tag")
 
     def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
-        self.tag, self.names, self.hidden, self.parent = tag, names, hidden, parent
-        own = f"{tag}.{names.replace(' ', '.')}" if names else tag
+        self.tag, self.parent = tag, parent
+        if tag in INLINE and not names and not hidden and parent is not None:
+            self.path, self.main, self.side = parent.path, parent.main, parent.side
+            return
+        own = f"{tag}.{names.replace(' ', '.').replace('/', '-').replace('#', '-')}" if names else tag
         self.path = f"{parent.path}/{own}" if parent else own
         within = parent is not None and parent.main
         self.main = within or tag in MAIN_TAGS or bool(names and MAIN_NAMES.search(names))
@@ -117,48 +103,65 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         while len(stack) > keep:
             yield "close", stack.pop()
 
-    for kind, what, attributes in tokens(page):
-        if kind == "":
-            yield "text", (stack[-1], what)
+    for raw, raw_attributes, slash, tag, attributes, text in _TOKEN.findall(page):
+        if text:
+            yield "text", (stack[-1], text)
+            continue
+        what = (raw or tag).lower()
+        if not what:  # a comment or declaration
             continue
-        if kind == "<":
-            if what in ENDS_PARAGRAPH:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        yield from until(k)
-                        break
-                    if stack[k].tag not in INLINE:
-                        break
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in IMPLIED.get(what, ()):
+                if stack[k].tag == what:
                     yield from until(k)
                     break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select") or (stack[k].tag not in INLINE and stack[k].tag != "p"):
-                    break
-            names, hidden = _names(attributes) if attributes else ("", False)
-            node = Node(what, names, hidden, stack[-1])
-            yield "open", node
-            if what in VOID or attributes.endswith("/"):
-                yield "close", node
-            else:
-                stack.append(node)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == what:
-                yield from until(k)
-                break
+        if what in ENDS_PARAGRAPH:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "p":
+                    yield from until(k)
+                    break
+                if stack[k].tag not in INLINE:
+                    break
+        if what in IMPLIED:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in IMPLIED[what]:
+                    yield from until(k)
+                    break
+                if stack[k].tag not in INLINE and stack[k].tag != "p":
+                    break
+        attributes = raw_attributes if raw else attributes
+        names, hidden = _names(attributes) if attributes else ("", False)
+        node = Node(what, names, hidden, stack[-1])
+        yield "open", node
+        if raw or what in VOID or attributes.endswith("/"):
+            yield "close", node
+        else:
+            stack.append(node)
     yield from until(1)
 
 
 def page_tokens(page: str) -> Counter:
-    """How often each differentiated block token occurs on a page."""
-    return Counter(node.path for kind, node in walk(page) if kind == "open" and node.tag not in INLINE)
-
-
-def extract(page: str, template: dict[str, bool] | None = None) -> str:
-    """The main text. ``template``: its host's tokens and whether each bounds a slot that stays; tokens that it lacks go by
-    the slot around them."""
-    blocks: list[tuple[str, bool, bool]] = []  # text, in an article, mostly links
+    """How often each differentiated token occurs on a page: block tags and, where no container is marked as main, blocks of text."""
+    found: Counter = Counter()
+    main = False
+    for kind, node in walk(page):
+        if kind == "open" and node.tag not in INLINE:
+            found[node.path] += 1
+            main |= node.main
+    if not main:
+        found.update(_text_token(path, text) for text, _, _, path in page_blocks(page))
+    return found
+
+
+def _text_token(path: str, text: str) -> str:
+    return f"{path}#{xxhash.xxh64_hexdigest(text)}"
+
+
+def page_blocks(page: str, template: dict[str, bool] | None = None) -> list[tuple[str, bool, bool, str]]:
+    """(text, whether in a main container, whether mostly links, path) of each block in slots that stay. ``template``: its host's
+    tokens and whether each bounds a slot that stays; tokens that it lacks go by the slot around them."""
+    blocks: list[tuple[str, bool, bool, str]] = []
     parts: list[str] = []
     linked = plain = 0
     owner: Node | None = None
@@ -166,9 +169,10 @@ def extract(page: str, template: dict[str, bool] | None = None) -> str:
     def flush() -> None:
         nonlocal linked, plain
         if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = "".join(parts)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text and owner is not None:
-                blocks.append((text, owner.main, linked > plain))
+                blocks.append((text, owner.main, linked > plain, owner.path))
         parts.clear()
         linked = plain = 0
 
@@ -211,9 +215,15 @@ def extract(page: str, template: dict[str, bool] | None = None) -> str:
             elif what.tag == "br" and kind == "open":
                 parts.append(" ")
     flush()
-    if any(main for _, main, _ in blocks):
-        return "\n\n".join(text for text, main, _ in blocks if main)
-    return "\n\n".join(text for text, _, linked in blocks if not linked)
+    return blocks
+
+
+def extract(page: str, template: dict[str, bool] | None = None) -> str:
+    """The main text: what main containers hold or, without any, the slots that are neither links nor text of the template."""
+    blocks = page_blocks(page, template)
+    if any(main for _, main, _, _ in blocks):
+        return "\n\n".join(text for text, main, _, _ in blocks if main)
+    return "\n\n".join(text for text, _, linked, path in blocks if not linked and not (template and _text_token(path, text) in template))
 
 
 def _host(url: str | None) -> str:
@@ -240,13 +250,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _VECTORS, strict=True)], schema=_VECTORS)
 
 
-def equivalence_classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, n_pages, class, tokens): tokens with equal occurrence vectors that most pages of the host carry."""
+def equivalence_classes(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, host_pages, class, tokens): tokens with equal occurrence vectors that most pages of the host carry."""
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sums = rows.mapInArrow(_occurrences, "host string, token string, n_pages long, n long, low long, high long")
     vectors = cut(sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n_pages", "n", "low", "high")]))
     hosts = vectors.where("token = ''").select("host", F.col("n_pages").alias("host_pages"))
-    frequent = vectors.where("token <> ''").join(hosts, "host").where(F.col("n_pages") >= support * F.col("host_pages"))
+    frequent = vectors.where("token <> ''").join(hosts, "host").where((F.col("n_pages") >= support * F.col("host_pages")) & ((F.col("n_pages") >= least_pages) | ~F.contains("token", F.lit("#"))))
     return frequent.groupBy("host", "host_pages", F.struct("n_pages", "n", "low", "high").alias("class")).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
 
 
@@ -260,7 +270,10 @@ def nest(classes: list[list[str]]) -> dict[str, bool]:
         while above and above not in out:
             above = above.rpartition("/")[0]
         tag, _, names = token.rpartition("/")[2].partition(".")
-        within = any(part.partition(".")[0] in MAIN_TAGS for part in token.split("/")[:-1])
+        if "#" in names or "#" in tag:  # text of the template
+            out[token] = False
+            continue
+        within = any(part.partition(".")[0] in MAIN_TAGS or MAIN_NAMES.search(part.partition(".")[2]) for part in token.split("/")[:-1])
         side = (tag in SIDE_TAGS and not (within and tag == "header")) or bool(names and tag not in MAIN_TAGS and SIDE_NAMES.search(names.replace(".", " ")))
         out[token] = out.get(above, True) and not side
     return out

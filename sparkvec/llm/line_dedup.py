@@ -7,7 +7,7 @@ document but stays at its first occurrence (smallest doc_id, then position), so
 
 Defined results: null text stays null and has no lines; blank lines are never boilerplate; a null source is one
 site of its own; rows that repeat a doc_id count as the same document, so they keep a line together; an empty table gives no
-rows; all other columns of ``docs`` pass through. Line hashes have 64 bits.
+rows; all other columns of ``docs`` pass through, n_chars brought up to date. Line hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -98,10 +98,10 @@ def drop_lines(docs: DataFrame, boilerplate: DataFrame, max_literal: int = MAX_L
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without cross-site boilerplate lines, with the same columns."""
-    out = drop_lines(docs, boilerplate_lines(docs, min_sites))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0)))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # columns may have the names of the counts
+    out = drop_lines(rows, boilerplate_lines(docs, min_sites))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

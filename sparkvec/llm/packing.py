@@ -2,9 +2,8 @@
 
 Overlong documents are first cut into full windows; what remains of each document is one piece shorter than a window. Best-fit
 decreasing looks at nothing but lengths, of which there are at most ``WINDOW``: it runs once over the histogram
-of lengths, whole runs of equal pieces at a time, and yields a plan of a few thousand segments (length, first rank, first
-window, offset) that does not grow with the corpus. The r-th piece of its length, by order in the tokenised table,
-finds its window in the plan by binary search. So packing is global and exact, while no task sees more than its partition.
+of lengths, whole runs of equal pieces at a time, and yields a plan of a few thousand segments that does not grow with the
+corpus. The r-th piece of its length, by order in the tokenised table, finds its window in the plan by binary search. So packing is global and exact, while no task sees more than its partition.
 
 Ids are those of the tokenizer file, found through ranks of the same vocabulary: chunks between single spaces encode
 independently of each other, so each is encoded once and kept as bytes in a bounded cache; texts with other white space
@@ -82,24 +81,35 @@ class SegmentTree:
         return None
 
 
-def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """Segments (length, first rank, first window, offset) in order of length and rank: piece number r of a length
-    lies in window ``first window + r - first rank`` of its last segment that begins at or before r."""
+def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """Segments (length, first rank, first window, offset, pieces a window) in order of length and rank. Piece number r of a
+    length, in its last segment that begins at or before r, is number k = r - first rank there, and lies in window
+    ``first window + k // pieces`` behind ``k % pieces`` equal ones.
+
+    One by one, equal pieces would fill the tightest window until it takes no more of them, then the next one: so a run of
+    windows of one capacity takes ``capacity // length`` pieces each."""
     tree, opened, plan = SegmentTree(window), 0, []
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                first, got, capacity = opened, left, window
-                opened += left
+                capacity, first = window, opened
+                each = window // length
+                got = -(-left // each)
+                opened += got
             else:
-                first, got = tree.take(capacity, left)
-            plan.append((length, rank, first, window - capacity))
-            if capacity > length:
-                tree.push(capacity - length, first, got)
-            rank += got
-            left -= got
+                each = capacity // length
+                first, got = tree.take(capacity, -(-left // each))
+            plan.append((length, rank, first, window - capacity, each))
+            placed = min(left, got * each)
+            full, rest = divmod(placed, each)
+            if full and capacity > each * length:
+                tree.push(capacity - each * length, first, full)
+            if rest:
+                tree.push(capacity - rest * length, first + full, 1)
+            rank += placed
+            left -= placed
     return sorted(plan)
 
 
@@ -166,8 +176,8 @@ def _cut_pieces(path: str, window: int, end_id: int):
     return run
 
 
-def _place(plan: list[tuple[int, int, int, int]]):
-    length, rank, first, offset = (np.array(c, dtype=np.int64) for c in zip(*plan, strict=True)) if plan else (np.zeros(0, np.int64),) * 4
+def _place(plan: list[tuple[int, int, int, int, int]]):
+    length, rank, first, offset, each = (np.array(c, dtype=np.int64) for c in zip(*plan, strict=True)) if plan else (np.zeros(0, np.int64),) * 5
     keys = (length << 48) | rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +185,10 @@ def _place(plan: list[tuple[int, int, int, int]]):
             n = batch.column("length").to_numpy().astype(np.int64)
             r = batch.column("rank").to_numpy()
             at = np.searchsorted(keys, (n << 48) | r, side="right") - 1
+            k = r - rank[at]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.record_batch(
-                [batch.column(c).cast(pa.int64()) for c in names] + [pa.array(first[at] + r - rank[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"]
+                [batch.column(c).cast(pa.int64()) for c in names] + [pa.array(first[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)], names=[*names, "sequence_id", "offset"]
             )
 
     return run

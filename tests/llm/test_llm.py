@@ -342,8 +342,8 @@ def test_plan_is_best_fit_decreasing():
         for n in histogram:
             own = [s for s in plan if s[0] == n]
             for r in range(histogram[n]):
-                _, rank, first, offset = max(s for s in own if s[1] <= r)
-                used.setdefault(first + r - rank, []).append((offset, n))
+                _, rank, first, offset, each = max(s for s in own if s[1] <= r)
+                used.setdefault(first + (r - rank) // each, []).append((offset + (r - rank) % each * n, n))
         for pieces in used.values():
             at = 0
             for offset, n in sorted(pieces):

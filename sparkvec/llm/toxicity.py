@@ -6,8 +6,8 @@ A text's terms are its lower-cased words and, for words of over ``STEM`` letters
 does alone. Linear weights are learnt with an L1 proximal step, so the many terms of a long text that say nothing
 stay at exactly 0 and do not add up; factors go through the same step, and terms left with nothing leave the training.
 
-Training reads a bounded sample of labelled documents (``TRAIN_ROWS``, at most ``BUCKETS`` features each); scoring reads
-every text whole, in blocks of bounded size.
+Training reads a bounded sample of labelled documents (``TRAIN_ROWS``, at most ``BUCKETS`` features each, hashed on the
+executors); scoring reads every text whole, in blocks of bounded size.
 
 Defined results: null and empty texts have no terms and score the logistic of w0; repeated rows score alike; labels of
 unknown documents and null labels are ignored; without labels of both kinds all score the share of toxic ones, 0
@@ -43,7 +43,7 @@ CACHE = 400_000
 
 
 class _Hashed(dict):
-    """Bucket of a word and, packed above it, of its stem (BUCKETS if it has none); bounded."""
+    """Buckets of a word and of its stem, -1 if it has none; bounded."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= CACHE:
@@ -100,14 +100,14 @@ def _raw(w0: float, w: np.ndarray, v: np.ndarray, owner: np.ndarray, at: np.ndar
     return w0 + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, rank: int = RANK) -> Machine:
-    """Full-batch Adagrad on the log loss, both kinds weighed alike, with proximal L1 on weights and factors."""
+def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, rank: int = RANK) -> Machine:
+    """Full-batch Adagrad on the log loss over the features of each text, both kinds weighed alike, with proximal L1 on weights
+    and factors."""
     y = np.array(labels, dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.0
     none = np.zeros(0, np.int64)
     if len(set(labels)) < 2:
         return Machine(60.0 if share else -60.0, none, np.zeros(0), np.zeros((0, rank)))
-    rows = [features(t) for t in texts]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     known, at, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     often = counts >= LEAST_DOCS
@@ -145,12 +145,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Train on at most ``rows`` labelled documents outside the held-out fold."""
     known = F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)
     chosen = labelled_sample(labels, known, ["toxic"], rows, "toxic")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")
-    texts, given = [], []
-    for r in found.toLocalIterator():
-        texts.append((r["text"] or "").encode())
-        given.append(int(r["toxic"] == 1))
-    return train(texts, given)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id")
+    hashed = found.select("doc_id", "toxic", "_text").mapInArrow(_hash_batches, "doc_id long, toxic int, found binary")
+    rows = hashed.orderBy("doc_id", "found").collect()
+    return train([np.frombuffer(r["found"], dtype="<i4").astype(np.int64) for r in rows], [int(r["toxic"] == 1) for r in rows])
+
+
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the sample's texts as bytes, so that no text goes to the driver."""
+    for batch in batches:
+        found = [features(t.as_py() or b"").astype("<i4").tobytes() for t in batch.column(2).cast(pa.binary())]
+        yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
 
 
 def _score(machine):

@@ -60,8 +60,9 @@ ENDS_PARAGRAPH = frozenset(
 )
 SIDE_TAGS = frozenset("nav header footer aside form head script style noscript template iframe button select textarea dialog menu title svg math canvas object".split())
 SIDE_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side-?bar|aside|widget|related|recommend(?:ed|ations)?"
-    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|replies|respond|disqus|complementary|contentinfo|pagination|pager|skip|copyright|toolbar)(?:[^a-z]|$)"
+    r"(?:^|[^a-z])(?:ads?|advert[a-z]*|banner|sponsor(?:ed|s)?|promo[a-z]*|nav(?:bar|igation|links?)?|menu[a-z]*|breadcrumbs?|header|masthead|footer[a-z]*|sidebar[a-z]*|side-?bar|aside|widgets?|related|recommend(?:ed|ations)?"
+    r"|cookie[a-z]*|consent|gdpr|notices?|notification|disclaimer|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|comment[a-z]*|replies|responses|respond|disqus|discussion"
+    r"|complementary|contentinfo|pagination|pager|skip|copyright|toolbar|form)(?:[^a-z]|$)"
 )
 MAIN_TAGS = ("article", "main")
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|entry|story|body-?text)(?:[^a-z]|$)")

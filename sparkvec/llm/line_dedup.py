@@ -24,7 +24,6 @@ LG_K = 12
 #: Boilerplate lines that are put into the scan as a literal set, at most; beyond that they are joined.
 MAX_LITERAL = 20_000
 BLANK = " \t\x0b\f\r"
-NOWHERE = -1
 
 
 def _key(line: Column) -> Column:

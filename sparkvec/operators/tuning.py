@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.operators.batching import number_rows
-
 OBJECTIVES = ("latency", "throughput", "memory", "balanced")
 TIE = 0.05
 #: Fixed values of the objectives, scores and picks.
@@ -251,5 +250,3 @@ def cache_key(model: str, logical: int, physical: int, brand: str, runtime: str,
     safe = "".join("_" if c in "/\\: " else c for c in model + (f"_{hashlib.sha256(variant.encode()).hexdigest()[:12]}" if variant else ""))
     return f"{logical}x{physical}_{brand}_{safe}_ort{'.'.join(runtime.split('.')[:2])}_v{'.'.join(version.split('.')[:2])}"
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["number_rows"]

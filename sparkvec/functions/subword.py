@@ -120,6 +120,62 @@ def unigram(word: str, scores: dict[str, float], ids: dict[str, int], unknown: i
     return out
 
 
+def load_vocab(lines: list[str], lower: bool = True, strip: bool = True) -> dict[str, int]:
+    """Ids by order of the lines; of pieces that are equal after normalisation the first id holds."""
+    out: dict[str, int] = {}
+    for i, line in enumerate(lines):
+        out.setdefault(bert_normalize(line, lower, strip), i)
+    return out
+
+
+class Charsmap:
+    """A precompiled character map: the size of a double-array trie, its units, then replacements that end in a zero byte.
+
+    A unit holds a label in its low byte, a leaf mark in bit 8, a scale in bit 9 and an offset above; a leaf's value is its low 31 bits."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        if size % 4 or 4 + size > len(blob):
+            raise ValueError("malformed character map")
+        self.units = [int.from_bytes(blob[i : i + 4], "little") for i in range(4, 4 + size, 4)]
+        self.texts = blob[4 + size :]
+
+    def replacement(self, key: bytes) -> str | None:
+        """What replaces a key that is in the map as a whole."""
+        at, found = 0, None
+        at ^= self._offset(self.units[0])
+        for n, b in enumerate(key):
+            at ^= b
+            if not b or at >= len(self.units) or self.units[at] & 0x800000FF != b:
+                return None
+            unit = self.units[at]
+            at ^= self._offset(unit)
+            if n == len(key) - 1 and unit >> 8 & 1:
+                value = self.units[at] & 0x7FFFFFFF
+                found = self.texts[value : self.texts.index(b"\0", value)].decode()
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 1 << 9) >> 6)
+
+    def __call__(self, text: str) -> str:
+        """Clusters of under six bytes are looked up whole first, then all by character."""
+        import regex
+
+        out = []
+        for cluster in regex.findall(r"\X", text):
+            raw = cluster.encode()
+            whole = self.replacement(raw) if len(raw) < 6 else None
+            if whole is not None:
+                out.append(whole)
+                continue
+            for c in cluster:
+                new = self.replacement(c.encode())
+                out.append(c if new is None else new)
+        return "".join(out)
+
+
 def fnv1a(text: str) -> str:
     """16 hexadecimal digits over the length in 8 bytes, then the text."""
     raw, h = text.encode(), FNV_OFFSET

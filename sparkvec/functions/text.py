@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +19,21 @@ IDEOGRAPH = r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{
 #: Basic tokens of ASCII text: every punctuation mark, and runs of the rest.
 BASIC_ASCII = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
 BASIC = r"[!-/:-@\[-`{-~\p{P}]|[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}!-/:-@\[-`{-~\p{P}]+"
+#: Tokens of the older byte-pair models: punctuation marks, single characters beyond ASCII, runs of the rest.
+LEGACY = r"[!-/:-@\[-`{-~]|[^\x{0}-\x{7F}]|[0-9A-Za-z\x{7F}]+"
 META = "▁"
 
 
+def _folds() -> tuple[str, str]:
+    """Latin-1 letters that decompose to an ASCII letter, and that letter in lower case; dotted and dotless i, long s."""
+    found = {chr(c): unicodedata.normalize("NFD", chr(c))[0].lower() for c in range(0xC0, 0x100)}
+    pairs = {c: b for c, b in found.items() if b.isascii()} | {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
+    return "".join(pairs), "".join(pairs.values())
+
+
+FOLD_FROM, FOLD_TO = _folds()
+
+
 def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -38,6 +52,12 @@ def basic_tokenize(text: Column | str, ascii_only: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(whole), F.lit(BASIC_ASCII if ascii_only else BASIC), F.lit(0))
 
 
+def legacy_tokenize(text: Column | str) -> Column:
+    """Words of the older byte-pair models, after their folding of case and Latin-1 accents."""
+    folded = F.translate(text, UPPER + FOLD_FROM, LOWER + FOLD_TO)
+    return F.regexp_extract_all(folded, F.lit(LEGACY), F.lit(0))
+
+
 def metaspace(text: Column | str, prepend: bool = True) -> Column:
     """Pieces that each begin with the mark that stands for a space."""
     marked = F.replace(text if isinstance(text, Column) else F.col(text), F.lit(" "), F.lit(META))

@@ -458,6 +458,15 @@ def _(spark, sf):
     return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
+_FOLDED = f"translate(text, '{text.UPPER + text.FOLD_FROM}', '{text.LOWER + text.FOLD_TO}')"
+
+
+@query("legacy_tokenize", f"SELECT doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all({_FOLDED}, '{text.LEGACY}') AS w {_DOCS})")
+def _(spark, sf):
+    rows = read(spark, sf, "documents").where("text is not null").select("doc_id", text.legacy_tokenize("text").alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
 @query("metaspace", f"SELECT doc_id, CAST(length(m) - length(replace(m, '▁', '')) AS INT) AS n, md5(m) AS digest FROM (SELECT doc_id, CASE WHEN starts_with(text, ' ') OR text = '' THEN replace(text, ' ', '▁') ELSE '▁' || replace(text, ' ', '▁') END AS m {_DOCS})")
 def _(spark, sf):
     rows = read(spark, sf, "documents").where("text is not null").select("doc_id", text.metaspace("text").alias("p"))

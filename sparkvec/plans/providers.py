@@ -8,7 +8,8 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from sparkvec.operators.batching import TOKEN_BUDGET, cut_by_budget
 from sparkvec.plans.resolve import pick_output
@@ -117,6 +118,11 @@ def embed(df: DataFrame, provider: Provider, text: str = "text", batch_size: int
     return df.mapInPandas(run, f"{fields}, embedding array<float>")
 
 
+def observed(df: DataFrame, observation: Observation) -> DataFrame:
+    """``df`` of :func:`embed`, whose texts, vectors and null texts are counted while an action runs over it."""
+    return df.observe(observation, F.count("*").alias("texts"), F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("skipped"))
+
+
 def embed_missing(df: DataFrame, cache: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
     """``df`` with ``embedding``, from ``cache`` (text, embedding) where it has the text; each other text is computed once."""
     hits = df.join(cache.select(text, "embedding"), text, "left").where("embedding is not null")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sparkvec.functions import subword, text, vector
@@ -183,6 +184,53 @@ def test_subwords():
     assert len(subword.fnv1a("")) == 16 and subword.fnv1a("a") != subword.fnv1a("b")
 
 
+def charsmap(pairs):
+    """A map of one-byte and two-byte keys, laid out by trial."""
+    units, texts = [0] * 1024, b""
+    used = {0}
+
+    def place(at, children):
+        base = next(b for b in range(256, 1024) if all((b ^ c) not in used and (b ^ c) < 1024 for c in children) and not (at ^ b) >> 21)
+        used.update(base ^ c for c in children)
+        units[at] |= (at ^ base) << 10
+        return base
+
+    tree = {}
+    for k, v in pairs.items():
+        raw = k.encode()
+        node = tree
+        for b in raw:
+            node = node.setdefault(b, {})
+        node[0] = len(texts)
+        texts += v.encode() + b"\0"
+
+    def lay(at, node):
+        base = place(at, list(node))
+        for b, child in node.items():
+            if b == 0:
+                units[base] = 1 << 31 | child
+                units[at] |= 1 << 8
+            else:
+                units[base ^ b] |= b
+                lay(base ^ b, child)
+
+    lay(0, tree)
+    return (4 * 1024).to_bytes(4, "little") + b"".join(u.to_bytes(4, "little") for u in units) + texts
+
+
+def test_character_map():
+    change = subword.Charsmap(charsmap({"a": "x", "é": "e", "e\u0301": "E"}))
+    assert change("abé") == "xbe" and change("e\u0301!") == "E!" and change("") == "" and change("e") == "e"
+    with pytest.raises(ValueError):
+        subword.Charsmap(b"\xff\xff\xff\x7f")
+
+
+def test_vocabulary_and_legacy_tokens(spark):
+    assert subword.load_vocab(["The", "the", "Été"]) == {"the": 0, "ete": 2} and subword.load_vocab(["The", "the"], lower=False) == {"The": 0, "the": 1}
+    got = spark.createDataFrame([("Crème brûlée, ÆØ ıſ Ā-x\x07y",)], "t string").select(text.legacy_tokenize("t")).first()[0]
+    assert got == ["creme", "brulee", ",", "Æ", "Ø", "is", "Ā", "-", "x", "y"]
+
+
 def test_budget_batches(spark):
     lengths = [300, 200, 200, 60, 50, 50, 1, 0]
     expect = batching.cut_by_budget(lengths, 16, 512)
@@ -323,6 +371,10 @@ def test_embed_missing(spark):
     got = {r["id"]: r["embedding"] for r in providers.embed_missing(df.where("text is not null"), cached, provider).collect()}
     assert np.allclose(got[2], provider.embed(["c"])[0]) and got[2] == got[3] and len(got) == 3
     assert providers.embed(df, provider).where("id = 4").first()["embedding"] is None
+    counts = Observation()
+    providers.observed(providers.embed(df, provider), counts).collect()
+    assert counts.get == {"texts": 4, "embedded": 3, "skipped": 1}
+    assert df.select(retrieve.joined_pair(F.lit("q"), F.col("text")).alias("p")).first()["p"] == "q [SEP] a b"
 
 
 def test_stream(spark, tmp_path):

@@ -34,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 #: Distinct fingerprints of a bucket that one task compares, at most (8 bytes each).
 IN_TASK = 4096
+#: Fingerprints that hold over this share of all rows, of which there can be no more than its inverse, are broadcast.
+HOT_SHARE = 1 / 1000
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 17
 
@@ -181,13 +183,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, in_task: int = IN_TASK) ->
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, in_task: int = IN_TASK) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id that links reach."""
     fps = cut(fingerprint_documents(docs))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     roots = connected_components(links(distinct, radius, in_task))
     linked = cut(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "rep"))
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = labels.where(F.col("n") > HOT_SHARE * total).select("fp", "component_id")
+    copies = fps.join(F.broadcast(hot), "fp")
+    others = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.where(F.col("n") <= HOT_SHARE * total), "fp")
+    return copies.unionByName(others, allowMissingColumns=True).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

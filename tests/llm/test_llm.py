@@ -162,7 +162,7 @@ def test_pairs_of_terms_matter():
     texts, y = [], []
     for _ in range(600):
         own = set(rng.choice(words, 4, replace=False))
-        texts.append(" ".join(sorted(own)).encode())
+        texts.append(toxicity.features(" ".join(sorted(own)).encode()))
         y.append(int({"group", "insult"} <= own))
     m = toxicity.train(texts, y, epochs=400, l1=1e-5)
     both, one, other = m.scores([b"group insult day", b"insult day road", b"group day road"])

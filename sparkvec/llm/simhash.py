@@ -39,6 +39,17 @@ HOT_SHARE = 1 / 1000
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 17
 
+# :func:`keep_one`, the pipeline's stage, has parameters of its own.
+#: Words of a shingle, and Jaccard similarity of two shingle sets from which texts are near copies.
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Min-hashes are grouped in bands; a pair at 0.8 shares no band in 0.02 % of cases, one at 0.85 in 0.001 %.
+BANDS = 16
+BAND_ROWS = 4
+#: Distinct texts of a band's bucket of which all pairs are compared; in a larger one each is compared with ``HUBS`` of them.
+ALL_PAIRS = 64
+HUBS = 4
+
 
 def masks(radius: int = RADIUS) -> list[int]:
     """The covering masks as signed longs."""
@@ -184,7 +195,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, in_task: int = IN_TAS
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id that links reach."""
     fps = cut(fingerprint_documents(docs))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    roots = connected_components(links(distinct, radius, in_task))
+    return _labelled(fps, distinct, links(distinct, radius, in_task))
+
+
+def _labelled(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of the rows of ``fps``, whose ``distinct`` values of fp are linked by ``edges``."""
+    roots = connected_components(edges)
     linked = cut(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "rep"))
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
@@ -196,10 +212,112 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, in_task: int = IN_TAS
     return copies.unionByName(others, allowMissingColumns=True).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; rows without an id stay. Of rows that
-    repeat a doc_id all stay, being one document."""
-    found = near_duplicates(docs, radius)
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """For each non-empty array of uint64 hashes, a key for each band of its min-hashes, as int64."""
+    rng = np.random.default_rng(SEED)
+    flat, starts = np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets[:-1])])
+    keys = np.empty((len(sets), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, dtype=np.uint64)
+        for flip, factor in rng.integers(0, 1 << 64, (BAND_ROWS, 2), dtype=np.uint64):
+            least = np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), starts)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def _band_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes: list[int] = []
+            keys: list[list[int]] = []
+            pending: list[np.ndarray] = []
+            held = 0
+
+            def flush() -> None:
+                found = iter(band_keys(some).tolist() if (some := [x for x in pending if len(x)]) else [])
+                for x in pending:
+                    sizes.append(len(x))
+                    keys.append(next(found) if len(x) else [])
+                pending.clear()
+
+            for text in batch.column(1).cast(pa.binary()):
+                pending.append(np.unique(np.array(shingle_hashes(text.as_py() or b"", width), dtype=np.uint64)))
+                held += len(pending[-1])
+                if held > BLOCK:
+                    flush()
+                    held = 0
+            flush()
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "size", "keys"])
+
+    return run
+
+
+def _verify_batches(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set[int]] = {}
+        held = 0
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for k, pair in enumerate(zip(a, b, strict=True)):
+                if held > 1 << 19:
+                    known.clear()
+                    held = 0
+                sets = []
+                for fp, column in zip(pair, (2, 3), strict=True):
+                    if fp not in known:
+                        known[fp] = set(shingle_hashes(batch.column(column)[k].as_py().encode(), width))
+                        held += len(known[fp])
+                    sets.append(known[fp])
+                both = len(sets[0] & sets[1])
+                if both >= similarity * (len(sets[0]) + len(sets[1]) - both):
+                    keep.append(k)
+            yield pa.record_batch([pa.array([x[k] for k in keep], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """(a, b) links between texts (fp, text) whose shingle sets have the Jaccard similarity or more, all of them verified.
+
+    Candidates share a band of min-hashes. A bucket's pairs are all compared up to ``all_pairs`` texts; in a larger one
+    each text is compared with the ``HUBS`` texts of the smallest hashes, so that work is linear in the bucket's size.
+    """
+    rows = texts.groupBy("fp").agg(F.min("text").alias("text"))
+    keys = cut(rows.mapInArrow(_band_batches(width), "fp long, size int, keys array<long>")).select(F.struct("fp", "size").alias("s"), F.explode("keys").alias("key"))
+    hubs = [F.min(F.struct(F.xxhash64("s.fp", F.lit(k)).alias("h"), F.col("s").alias("s")))["s"] for k in range(HUBS)]
+    buckets = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where("n > 1"))
+    small = (
+        keys.join(buckets.where(F.col("n") <= all_pairs).select("key"), "key")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list("s")).alias("all"))
+        .select(F.posexplode("all").alias("i", "a"), "all")
+        .select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(all_pairs))).alias("b"))
+    )
+    large = keys.join(buckets.where(F.col("n") > all_pairs), "key").select(F.explode("hubs").alias("a"), F.col("s").alias("b"))
+    close = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")
+    pairs = cut(small.union(large).where((F.col("a.fp") != F.col("b.fp")) & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    found = rows.join(wanted, "fp", "left_semi")
+    return (
+        pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(found.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+        .mapInArrow(_verify_batches(width, similarity), "a long, b long")
+    )
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their near copies; rows without an id stay. Of rows that
+    repeat a doc_id all stay, being one document. Near copies are linked by :func:`similar_links`; texts are told apart
+    by 64-bit hashes, and those without words are alike."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    fp = F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+    fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp.alias("fp"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = _labelled(fps, distinct, similar_links(docs.select(fp.alias("fp"), text.alias("text")), similarity, width))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -528,6 +528,32 @@ def test_simhash_odd(odd, spark):
     assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("all_pairs", [2, simhash.ALL_PAIRS])
+def test_stage_finds_copies_at_its_similarity(spark, all_pairs):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = []
+    for k in range(60):
+        words = list(rng.choice(vocabulary, rng.integers(80, 260)))
+        texts.append(words)
+        for edits in (1 + k % 5, 2 + k % 6):
+            other = list(words)
+            for at in rng.choice(len(words), edits, replace=False):
+                other[at] = f"edit{k}x{at}"
+            texts.append(other)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    found = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(range(len(sets)), 2)}
+    assert sum(0.8 <= v <= 0.95 for v in found.values()) > 40 and sum(0.5 < v < 0.8 for v in found.values()) > 20
+    df = spark.createDataFrame([(i, " ".join(w).upper() if i % 2 else " ".join(w)) for i, w in enumerate(texts)], "fp long, text string")
+    close = {p for p, v in found.items() if v >= 0.8}
+    edges = {(r["a"], r["b"]) for r in simhash.similar_links(df, all_pairs=all_pairs).collect()}
+    assert edges == close if all_pairs > 2 else edges < close
+    first = [{r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(sorted(x), "a long, b long")).collect()} for x in (edges, close)]
+    assert first[0] == first[1]
+    kept = simhash.keep_one(df.withColumnRenamed("fp", "doc_id"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if first[1].get(i, i) == i]
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (200, 201)] + [(300, 300 + i) for i in range(1, 30)]
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -32,10 +32,10 @@ def _key(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     return (
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "site", "pos", _key(F.col("line")).alias("key"))
+        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", "site", "digest", "pos", _key(F.col("line")).alias("key"))
         .where("key <> ''")
-        .select("doc_id", "site", "pos", F.xxhash64("key").alias("h"))
+        .select("doc_id", "site", "digest", "pos", F.xxhash64("key").alias("h"))
     )
 
 
@@ -63,7 +63,7 @@ def drop_lines(docs: DataFrame, boilerplate: DataFrame, max_literal: int = MAX_L
     """``docs`` with text without boilerplate, and the counts ``n_lines`` and ``n_removed``.
 
     Up to ``max_literal`` lines are tested inside the scan by a literal hash set; more are joined by line hash,
-    and the positions found by doc_id, with the same result.
+    and the positions found by doc_id and text hash, which tell rows apart whose lines differ, with the same result.
     """
     plain = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     few = boilerplate.limit(max_literal + 1).select("h", F.xxhash64("h", "doc_id", "pos").alias("first")).collect()
@@ -78,13 +78,13 @@ def drop_lines(docs: DataFrame, boilerplate: DataFrame, max_literal: int = MAX_L
             _lines(docs)
             .join(boilerplate.select("h", F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos")), "h")
             .where(~(F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos"))))
-            .groupBy(F.col("doc_id").alias("_id"))
+            .groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
             .agg(F.collect_set("pos").alias("_bad"))
         )
         lines = F.split("text", "\n")
         at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_bad", F.array().cast("array<int>")))
         marked = (
-            docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+            docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
             .withColumn("_lines", lines)
             .withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.transform(at, lambda p: F.get("_lines", p))))
         )

@@ -226,6 +226,18 @@ def test_both_ways_to_drop_lines_agree(spark, documents):
     assert ways[0] == ways[1]
 
 
+def test_both_ways_judge_each_row_by_its_text(spark):
+    rows = [(i, f"Menu\nown {i}", "en", f"s{i}", 1) for i in range(4)]
+    rows += [(None, f"null {i}\nMenu\nend {i}", "en", f"s{i}", 1) for i in range(4)] + [(None, f"clean {i}\nclean line\nend", "en", "s1", 1) for i in range(2)]
+    rows += [(9, "Menu\nfirst of nine", "en", "s5", 1), (9, "Title\nMenu", "en", "s6", 1), (9, None, "en", "s6", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    boiler = line_dedup.boilerplate_lines(df, 3).cache()
+    ways = [sorted(map(str, line_dedup.drop_lines(df, boiler, most).select("doc_id", "text", "n_lines", "n_removed").collect())) for most in (10**6, 0)]
+    assert ways[0] == ways[1]
+    texts = [r["text"] for r in line_dedup.drop_lines(df, boiler, 0).collect()]
+    assert {"clean 0\nclean line\nend", "clean 1\nclean line\nend", "Title", "first of nine"} <= set(texts)
+
+
 def test_lines_stay_once(spark):
     rows = rows_of(["Menu\nown 0", "own 1\n Menu\t", "Menu\nMenu\nown 2", "own 3", None, ""], {0: "a", 1: "b", 2: "c", 4: "a"})
     df = spark.createDataFrame(rows, DOCS)

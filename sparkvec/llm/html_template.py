@@ -79,12 +79,14 @@ def _names(attributes: str) -> tuple[str, bool]:
 
 
 class Node:
-    __slots__ = ("main", "parent", "path", "side", "tag")
+    __slots__ = ("barred", "main", "named", "parent", "path", "side", "tag")
 
-    def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
+    def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None, around: bool = False):
+        """``around``: the element holds the page's article, so its side names say nothing."""
         self.tag, self.parent = tag, parent
+        self.named = False
         if tag in INLINE and not names and not hidden and parent is not None:
-            self.path, self.main, self.side = parent.path, parent.main, parent.side
+            self.path, self.main, self.side, self.barred = parent.path, parent.main, parent.side, parent.barred
             return
         own = f"{tag}.{names.replace(' ', '.').replace('/', '-').replace('#', '-')}" if names else tag
         self.path = f"{parent.path}/{own}" if parent else own
@@ -92,13 +94,55 @@ class Node:
         self.main = within or tag in MAIN_TAGS or bool(names and MAIN_NAMES.search(names))
         # An article's own header holds its title; pages' headers and footers do not.
         side_tag = tag in SIDE_TAGS and not (within and tag == "header")
-        self.side = hidden or bool(parent and parent.side) or side_tag or bool(names and tag not in ("html", "body", *MAIN_TAGS) and SIDE_NAMES.search(names))
-
-
-def walk(page: str) -> Iterator[tuple[str, object]]:
+        self.named = not around and bool(names and tag not in ("html", "body", *MAIN_TAGS) and SIDE_NAMES.search(names))
+        #: Side matter by tag or hidden, whatever the names.
+        self.barred = hidden or side_tag or bool(parent and parent.barred)
+        self.side = self.barred or self.named or bool(parent and parent.side)
+
+
+def wrappers(page: str) -> frozenset[int]:
+    """Elements, by their place among a page's tags, that are side matter by name but hold its article: the outermost article,
+    main or element of a main name with the most text. One without such a tag must also hold more than all slots that stay."""
+    held: dict[Node, int] = {}
+    places: dict[Node, int] = {}
+    plain = 0
+    for kind, what in walk(page):
+        if kind == "open":
+            places[what] = len(places)
+        elif kind == "text":
+            node, text = what
+            if node.barred or not text.strip():
+                continue
+            plain += 0 if node.side else len(text)
+            tagged = other = None
+            while node is not None:
+                if node.tag in MAIN_TAGS and not SIDE_NAMES.search(node.path.rpartition("/")[2].partition(".")[2]):
+                    tagged = node
+                elif node.main and not node.named and node.tag not in ("html", "body"):
+                    other = node
+                node = node.parent
+            container = tagged or other
+            if container is not None:
+                held[container] = held.get(container, 0) + len(text)
+    for node in sorted(held, key=lambda n: -held[n]):
+        if not node.side:
+            break
+        if node.tag in MAIN_TAGS or held[node] > plain:
+            found = []
+            above = node.parent
+            while above is not None:
+                if above.named:
+                    found.append(places[above])
+                above = above.parent
+            return frozenset(found)
+    return frozenset()
+
+
+def walk(page: str, around: frozenset[int] = frozenset()) -> Iterator[tuple[str, object]]:
     """("open", node), ("text", (node, text)) and ("close", node) of the tree that a page's tokens imply."""
     root = Node("", "", False, None)
     stack = [root]
+    place = 0
 
     def until(keep: int) -> Iterator[tuple[str, object]]:
         while len(stack) > keep:
@@ -133,7 +177,8 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
                     break
         attributes = raw_attributes if raw else attributes
         names, hidden = _names(attributes) if attributes else ("", False)
-        node = Node(what, names, hidden, stack[-1])
+        node = Node(what, names, hidden, stack[-1], place in around)
+        place += 1
         yield "open", node
         if raw or what in VOID or attributes.endswith("/"):
             yield "close", node
@@ -194,7 +239,7 @@ def page_blocks(page: str, template: dict[str, bool] | None = None) -> list[tupl
         judged[node.path] = found = True if found is None else found
         return found
 
-    for kind, what in walk(page):
+    for kind, what in walk(page, wrappers(page)):
         if kind == "text":
             node, text = what
             holder = node
@@ -270,13 +315,8 @@ def nest(classes: list[list[str]]) -> dict[str, bool]:
         above = token.rpartition("/")[0]
         while above and above not in out:
             above = above.rpartition("/")[0]
-        tag, _, names = token.rpartition("/")[2].partition(".")
-        if "#" in names or "#" in tag:  # text of the template
-            out[token] = False
-            continue
-        within = any(part.partition(".")[0] in MAIN_TAGS or MAIN_NAMES.search(part.partition(".")[2]) for part in token.split("/")[:-1])
-        side = (tag in SIDE_TAGS and not (within and tag == "header")) or bool(names and tag not in MAIN_TAGS and SIDE_NAMES.search(names.replace(".", " ")))
-        out[token] = out.get(above, True) and not side
+        # Side tags and names are judged on each page, where it shows whether they hold the article.
+        out[token] = "#" not in token and out.get(above, True)
     return out
 
 

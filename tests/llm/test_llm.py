@@ -452,6 +452,17 @@ def test_templates_drop_shared_text(spark):
     assert html_template.extract_pages(df.where("false")).count() == 0
 
 
+def test_names_around_the_article_do_not_remove_it(spark):
+    article = "<{0}><h1>Head {1}</h1><p>Own text of page {1}, which is the longest of all here</p><div class='comments'>troll</div></{0}>"
+    side = "<div class='sidebar'><article>teaser</article></div>"
+    wraps = ["<html><body class='single-post right-sidebar'>{}</body></html>", "<body class='single-post'><div class='layout with-sidebar'>{}</div></body>", "<html class='search-enabled'><body>{}</body></html>", "<body><div class='layout with-sidebar'>{}</div></body>", "<div class='has-sidebar'><div class='form'>{}</div></div>"]
+    rows = [(10 * w + k, f"http://h{w}.example/{k}", wrap.format(article.format(("article", "main")[k % 2], 10 * w + k) + side)) for w, wrap in enumerate(wraps) for k in range(6)]
+    rows += [(90, "http://one.example/", wraps[0].format(article.format("article", 90))), (91, "http://two.example/", wraps[3].format("<div class='post'><p>Only post</p></div>"))]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.pop(91) == "Only post"
+    assert all(text == f"Head {i}\n\nOwn text of page {i}, which is the longest of all here" for i, text in got.items())
+
+
 def test_equal_vectors_share_a_class(spark):
     rows = [(i, f"http://h/{i}", f"<main><h1>t</h1><p>{i}</p>{'<hr>' * (i % 2)}</main>") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

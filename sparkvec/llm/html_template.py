@@ -7,7 +7,7 @@ aggregation, so a host of a third of all pages is no heavier for any task. A cla
 most pages of the host carry it; valid classes nest by their paths into the host's template, whose tokens bound slots.
 Slots inside navigation, headers, footers, side matter, notices, adverts, forms, comments and code go, as do those that hold
 little but links; what remains, the article where the template has one, is the page's main text. Blocks
-of text are tokens too where a page marks no main container: text that most pages of a host share is template, not slot.
+of text are tokens too, inside main containers as well: text that most pages of a host share is template, not slot.
 
 Text keeps its order: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by two line feeds. Nothing else is dropped or cut.
@@ -188,15 +188,12 @@ def walk(page: str, around: frozenset[int] = frozenset()) -> Iterator[tuple[str,
 
 
 def page_tokens(page: str) -> Counter:
-    """How often each differentiated token occurs on a page: block tags and, where no container is marked as main, blocks of text."""
+    """How often each differentiated token occurs on a page: block tags and blocks of text."""
     found: Counter = Counter()
-    main = False
     for kind, node in walk(page):
         if kind == "open" and node.tag not in INLINE:
             found[node.path] += 1
-            main |= node.main
-    if not main:
-        found.update(_text_token(path, text) for text, _, _, path in page_blocks(page))
+    found.update(_text_token(path, text) for text, _, _, path in page_blocks(page))
     return found
 
 
@@ -265,10 +262,13 @@ def page_blocks(page: str, template: dict[str, bool] | None = None) -> list[tupl
 
 
 def extract(page: str, template: dict[str, bool] | None = None) -> str:
-    """The main text: what main containers hold or, without any, the slots that are neither links nor text of the template."""
+    """The main text: what main containers hold or, without any, the slots that are not links; text of the template goes from
+    both. Where a main container holds nothing else, the page repeats another one's article, and keeps it."""
     blocks = page_blocks(page, template)
     if any(main for _, main, _, _ in blocks):
-        return "\n\n".join(text for text, main, _, _ in blocks if main)
+        held = [(text, path) for text, main, _, path in blocks if main]
+        own = [text for text, path in held if not (template and _text_token(path, text) in template)]
+        return "\n\n".join(own or [text for text, _ in held])
     return "\n\n".join(text for text, _, linked, path in blocks if not linked and not (template and _text_token(path, text) in template))
 
 
@@ -300,10 +300,11 @@ def equivalence_classes(pages: DataFrame, support: float = SUPPORT, least_pages:
     """(host, host_pages, class, tokens): tokens with equal occurrence vectors that most pages of the host carry."""
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sums = rows.mapInArrow(_occurrences, "host string, token string, n_pages long, n long, low long, high long")
-    vectors = cut(sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n_pages", "n", "low", "high")]))
+    summed = sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n_pages", "n", "low", "high")])
+    vectors = cut(summed.where((F.col("n_pages") >= least_pages) | ~F.contains("token", F.lit("#"))))
     hosts = vectors.where("token = ''").select("host", F.col("n_pages").alias("host_pages"))
     frequent = vectors.where("token <> ''").join(hosts, "host").where((F.col("n_pages") >= support * F.col("host_pages")) & ((F.col("n_pages") >= least_pages) | ~F.contains("token", F.lit("#"))))
-    return frequent.groupBy("host", "host_pages", F.struct("n_pages", "n", "low", "high").alias("class")).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return frequent.groupBy("host", "host_pages", F.struct("n_pages", "n", "low", "high", F.contains("token", F.lit("#")).alias("text")).alias("class")).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
 
 
 def nest(classes: list[list[str]]) -> dict[str, bool]:

@@ -463,6 +463,14 @@ def test_names_around_the_article_do_not_remove_it(spark):
     assert all(text == f"Head {i}\n\nOwn text of page {i}, which is the longest of all here" for i, text in got.items())
 
 
+def test_templates_drop_shared_text_in_articles(spark):
+    page = lambda i: f"<article><h1>Head {i}</h1><p>Own text {i}</p><div class='x'>Follow us for more</div></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)] + [(20 + i, f"http://same.example/{i}", page(20)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\n\nOwn text {i}" for i in range(8))
+    assert all(got[20 + i] == "Head 20\n\nOwn text 20\n\nFollow us for more" for i in range(6))
+
+
 def test_equal_vectors_share_a_class(spark):
     rows = [(i, f"http://h/{i}", f"<main><h1>t</h1><p>{i}</p>{'<hr>' * (i % 2)}</main>") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.storage import cut
+
 #: Padded tokens of a batch that measured best for dense, sparse and rerank models.
 TOKEN_BUDGET = 512
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "_n", by: list[str] | None = None) -> DataFrame:
-    """Adds a row number from 0 in global order without one task for all: rows are range-partitioned, and each partition's
-    numbers begin after the counts of those before it. ``by`` numbers inside groups with a plain window instead."""
-    if by:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_i", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+    """Adds a row number from 0 in global order, or in each group of the columns ``by``, without one task for all.
+
+    Rows are range-partitioned and sorted once and cut there, so that partitions and the order inside them hold whatever
+    is read of them later. A row's number is its place in its partition after the counts of those before it: one row a
+    partition is broadcast. A group's numbers begin at its least global one, so a large group is no task of its own."""
+    full = [*(F.col(c).asc_nulls_first() for c in by or []), *order]
+    dealt = cut(df.repartitionByRange(*full).sortWithinPartitions(*full)).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = dealt.groupBy(part).agg(F.count("*").alias("_c"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    out = dealt.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_at", "_before")
+    if not by:
+        return out
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    first = out.groupBy(*keys).agg(F.min(name).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    return out.join(first, same).withColumn(name, F.col(name) - F.col("_first")).select(*df.columns, name)
 
 
 def fixed_batches(df: DataFrame, order: list[Column | str], size: int) -> DataFrame:
@@ -54,20 +66,40 @@ def cut_by_budget(lengths: list[int], size: int, budget: int = TOKEN_BUDGET) ->
     return out
 
 
+def budget_plan(counts: list[tuple[int, int]], size: int, budget: int = TOKEN_BUDGET) -> list[tuple[int, int, int, int]]:
+    """(length, start, room, first) for each of the (length, rows) given, longest first: the place of the first row of this
+    length that opens a batch, the rows of a batch opened here, and its number. Rows before ``start`` are in the batch
+    before ``first``. A batch is cut by its first text's length alone, so the counts of lengths decide all."""
+    out, at, start, batch = [], 0, 0, 0
+    for length, rows in counts:
+        end, room = at + rows, min(size, max(1, budget // max(1, length)))
+        out.append((length, start, room, batch))
+        opened = max(0, -(-(end - start) // room))
+        start, batch, at = start + opened * room, batch + opened, end
+    return out
+
+
 def budget_batches(df: DataFrame, tokens: str, key: str, size: int, budget: int = TOKEN_BUDGET, shard: list[str] | None = None) -> DataFrame:
-    """Adds ``batch`` inside each shard (or partition of the range by length): a sequential scan over sorted rows that keeps
-    only the current batch's room, so a shard of any size streams through."""
+    """Adds ``batch``, numbered in each shard, or over the whole table without one. A shard streams through a sequential scan of its
+    sorted rows that keeps only the current batch's room. The whole table is numbered in order and its batches are planned
+    from the counts of its lengths, of which there are no more than tokens in the longest text."""
     order = [F.desc(tokens), F.col(key)]
-    dealt = df.repartition(*shard) if shard else df.repartitionByRange(*order)
-    sorted_ = dealt.sortWithinPartitions(*(shard or []), *order)
+    if not shard:
+        numbered = number_rows(df, order)
+        counts = df.groupBy(F.coalesce(F.col(tokens), F.lit(0)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
+        plan = budget_plan([(r["n"], r["c"]) for r in counts], size, budget)
+        steps = F.broadcast(df.sparkSession.createDataFrame(plan, "_length long, _start long, _room long, _first long"))
+        own = F.col("_first") + F.floor((F.col("_n") - F.col("_start")) / F.col("_room"))
+        batch = F.when(F.col("_n") < F.col("_start"), F.col("_first") - 1).otherwise(own)
+        return numbered.join(steps, F.coalesce(F.col(tokens), F.lit(0)) == F.col("_length")).select(*df.columns, batch.alias("batch"))
+    sorted_ = df.repartition(*shard).sortWithinPartitions(*shard, *order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         room, batch, group = 0, -1, None
         for pdf in parts:
             out = []
-            groups = list(map(tuple, pdf[shard].itertuples(index=False))) if shard else [()] * len(pdf)
-            for n, g in zip(pdf[tokens].tolist(), groups, strict=True):
+            for n, g in zip(pdf[tokens].tolist(), map(tuple, pdf[shard].itertuples(index=False)), strict=True):
                 if g != group:
                     room, batch, group = 0, -1, g
                 if not room:
@@ -88,5 +120,5 @@ def padding_waste(batched: DataFrame, tokens: str, by: list[str]) -> DataFrame:
 def shards(df: DataFrame, order: list[Column | str], workers: int) -> DataFrame:
     """Adds ``shard``: contiguous ranges of ceil(n / workers) rows in order."""
     numbered = number_rows(df, order)
-    size = numbered.agg(F.ceil(F.count("*") / workers)).scalar()
+    size = df.agg(F.ceil(F.count("*") / workers)).scalar()
     return numbered.withColumn("shard", F.floor(F.col("_n") / F.greatest(size, F.lit(1)))).drop("_n")

@@ -563,34 +563,40 @@ def _(spark, sf):
 
 # Batches
 
-_N = f"SELECT id, len(w) AS n FROM ({_TOKENS})"
+_N = f"SELECT doc_id AS id, text, md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(lower(text), '{_PAT}')), 0) AS n FROM documents"
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return _tokens(spark, sf).select("id", F.size("w").alias("n"))
+    """All documents with their texts, as a user's batches carry them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII), F.lit(0))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce(F.size(words), F.lit(0)).alias("n"))
+
+
+def _digest():
+    return F.md5(F.coalesce("text", F.lit(""))).alias("digest")
 
 
-@query("batch_fixed", f"SELECT id, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM ({_N})")
+@query("batch_fixed", f"SELECT id, digest, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM ({_N})")
 def _(spark, sf):
-    return batching.fixed_batches(_sized(spark, sf), ["id"], 32).select("id", "batch")
+    return batching.fixed_batches(_sized(spark, sf), ["id"], 32).select("id", _digest(), "batch")
 
 
-_BY_LENGTH = f"SELECT id, n, (row_number() OVER (ORDER BY n DESC, id) - 1) // 16 AS batch FROM ({_N})"
+_BY_LENGTH = f"SELECT id, digest, n, (row_number() OVER (ORDER BY n DESC, id) - 1) // 16 AS batch FROM ({_N})"
 
 
-@query("batch_length_bucket", f"SELECT id, batch FROM ({_BY_LENGTH})")
+@query("batch_length_bucket", f"SELECT id, digest, batch FROM ({_BY_LENGTH})")
 def _(spark, sf):
-    return batching.length_batches(_sized(spark, sf), "n", "id", 16).select("id", "batch")
+    return batching.length_batches(_sized(spark, sf), "n", "id", 16).select("id", _digest(), "batch")
 
 
 @query("batch_equal_length", f"SELECT id, n || '-' || ((row_number() OVER (PARTITION BY n ORDER BY id) - 1) // 8) AS batch FROM ({_N})")
 def _(spark, sf):
-    return batching.length_batches(_sized(spark, sf), "n", "id", 8, exact_length=True).select("id", "batch")
+    return batching.length_batches(_sized(spark, sf).drop("text"), "n", "id", 8, exact_length=True).select("id", "batch")
 
 
 @query("batch_padding_waste", f"SELECT CAST(sum(m * c) AS BIGINT) AS padded, CAST(sum(t) AS BIGINT) AS tokens, round(sum(m * c) / sum(t), 6) AS ratio FROM (SELECT batch, max(n) AS m, count(*) AS c, sum(n) AS t FROM ({_BY_LENGTH}) GROUP BY batch)")
 def _(spark, sf):
-    return _rounded(batching.padding_waste(batching.length_batches(_sized(spark, sf), "n", "id", 16), "n", ["batch"]), "ratio")
+    return _rounded(batching.padding_waste(batching.length_batches(_sized(spark, sf).drop("text"), "n", "id", 16), "n", ["batch"]), "ratio")
 
 
 _SHARDED = f"SELECT id, n, id // 64 AS shard, row_number() OVER (PARTITION BY id // 64 ORDER BY n DESC, id) AS p FROM ({_N})"
@@ -598,13 +604,18 @@ _SHARDED = f"SELECT id, n, id // 64 AS shard, row_number() OVER (PARTITION BY id
 
 @query("batch_token_budget", f"WITH RECURSIVE s AS MATERIALIZED ({_SHARDED}), w AS (SELECT shard, p, id, least(16, greatest(1, 512 // greatest(1, n))) - 1 AS room, 0 AS batch FROM s WHERE p = 1 UNION ALL SELECT s.shard, s.p, s.id, CASE WHEN w.room > 0 THEN w.room - 1 ELSE least(16, greatest(1, 512 // greatest(1, s.n))) - 1 END, CASE WHEN w.room > 0 THEN w.batch ELSE w.batch + 1 END FROM w JOIN s ON s.shard = w.shard AND s.p = w.p + 1) SELECT id, shard, CAST(batch AS BIGINT) AS batch FROM w")
 def _(spark, sf):
-    rows = _sized(spark, sf).withColumn("shard", F.floor(F.col("id") / 64))
+    rows = _sized(spark, sf).drop("text").withColumn("shard", F.floor(F.col("id") / 64))
     return batching.budget_batches(rows, "n", "id", 16, shard=["shard"]).select("id", "shard", "batch")
 
 
-@query("pool_shards", "SELECT id, (row_number() OVER (ORDER BY id) - 1) // CAST(ceil(count(*) OVER () / 4) AS BIGINT) AS shard FROM (SELECT doc_id AS id FROM documents)")
+@query("batch_token_budget_global", f"WITH RECURSIVE s AS MATERIALIZED (SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS p FROM ({_N})), w AS (SELECT p, id, least(16, greatest(1, 512 // greatest(1, n))) - 1 AS room, 0 AS batch FROM s WHERE p = 1 UNION ALL SELECT s.p, s.id, CASE WHEN w.room > 0 THEN w.room - 1 ELSE least(16, greatest(1, 512 // greatest(1, s.n))) - 1 END, CASE WHEN w.room > 0 THEN w.batch ELSE w.batch + 1 END FROM w JOIN s ON s.p = w.p + 1) SELECT id, CAST(batch AS BIGINT) AS batch FROM w")
+def _(spark, sf):
+    return batching.budget_batches(_sized(spark, sf), "n", "id", 16).select("id", "batch")
+
+
+@query("pool_shards", f"SELECT id, digest, (row_number() OVER (ORDER BY id) - 1) // CAST(ceil(count(*) OVER () / 4) AS BIGINT) AS shard FROM ({_N})")
 def _(spark, sf):
-    return batching.shards(read(spark, sf, "documents").select(F.col("doc_id").alias("id")), ["id"], 4).select("id", "shard")
+    return batching.shards(_sized(spark, sf), ["id"], 4).select("id", _digest(), "shard")
 
 
 # Measured configurations, made from the suppliers

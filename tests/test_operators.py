@@ -247,6 +247,44 @@ def test_numbering_spans_partitions(spark):
     assert batching.shards(df, ["k"], 7).groupBy("shard").count().agg(F.max("count"), F.count("*")).first() == (143, 7)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_keeps_every_row(spark, tmp_path, adaptive):
+    n = 400_000
+    spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.repeat(F.lit("word "), (F.col("id") % 23).cast("int")).alias("text")).repartition(8).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = batching.number_rows(df, ["k"])
+        assert got.columns == ["k", "text", "_n"]
+        assert got.agg(F.count("*"), F.sum((F.col("k") != F.col("_n")).cast("int")), F.countDistinct("_n")).first() == (n, 0, n)
+        batches = batching.length_batches(df.withColumn("n", F.length("text")), "n", "k", 16)
+        assert batches.groupBy("batch").count().groupBy("count").count().collect() == [(16, n // 16)]
+        assert batching.shards(df, ["k"], 7).groupBy("shard").agg(F.count("*").alias("c"), F.min("k").alias("k")).orderBy("shard").collect()[-1] == (6, n - 6 * (-(-n // 7)), 6 * (-(-n // 7)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_numbering_in_groups(spark):
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i, str(i)) for i in range(100)], "g int, k int, text string")
+    got = {r["k"]: r["n"] for r in batching.number_rows(df, ["k"], "n", by=["g"]).collect()}
+    seen = {}
+    for i in range(100):
+        g = None if i % 5 == 0 else i % 3
+        assert got[i] == seen.get(g, 0)
+        seen[g] = seen.get(g, 0) + 1
+    assert batching.number_rows(df.where("false"), ["k"]).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 700), max_size=80), st.integers(1, 9), st.integers(1, 600))
+def test_budget_plan_is_the_scan(lengths, size, budget):
+    lengths = sorted(lengths, reverse=True)
+    counts = [(n, lengths.count(n)) for n in sorted(set(lengths), reverse=True)]
+    steps = {n: (start, room, first) for n, start, room, first in batching.budget_plan(counts, size, budget)}
+    got = [steps[n][2] - 1 if i < steps[n][0] else steps[n][2] + (i - steps[n][0]) // steps[n][1] for i, n in enumerate(lengths)]
+    assert got == batching.cut_by_budget(lengths, size, budget)
+
+
 def test_selection(spark):
     rows = [(0, True, 10.0, 12.0, 100.0, 50.0), (1, True, 9.8, 11.8, 103.0, 40.0), (2, False, 1.0, 1.0, 999.0, 1.0), (3, True, 5.0, 30.0, 60.0, 10.0)]
     m = spark.createDataFrame(rows, "idx int, valid boolean, p50_ms double, p95_ms double, throughput double, memory_mb double")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as a Java character class; words are runs of anything else.
+from sparkvec.storage import cut
+
+__all__ = ["SPACE", "SPACE_CLASS", "cut", "labelled_sample", "let", "remainder", "table"]
+
+#: ASCII white space, and the same as a Java character class; words are runs of anything else.
+SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -21,37 +25,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, split at ASCII white space; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
-
-
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share, and go on from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def labelled_sample(labels: DataFrame, keep: Column, columns: list[str], rows: int, seed: str = "") -> DataFrame:
-    """At most ``rows`` labelled rows, one for each doc_id, those with the smallest hash: the bound is a
-    parameter, so the result may be broadcast whatever the size of the corpus."""
+def labelled_sample(labels: DataFrame, docs: DataFrame, keep: Column, columns: list[str], rows: int, seed: str = "") -> DataFrame:
+    """At most ``rows`` labelled rows of documents that ``docs`` has, one for each doc_id, those with the smallest hash: the bound
+    is a parameter, so the result may be broadcast whatever the size of the corpus."""
+    known = docs.select("doc_id").where("doc_id is not null").distinct()
     return (
         labels.where(keep & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
-        .agg(*[F.max(c).alias(c) for c in columns])
+        .agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in columns])
+        .join(known, "doc_id", "left_semi")
         .orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id")
         .limit(rows)
+        .drop("_n")
     )

@@ -182,7 +182,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Chain:
     """Train on at most ``rows`` labelled documents outside the held-out fold."""
     known = F.col("quality").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)
-    chosen = labelled_sample(labels, known, ["quality"], rows, "quality")
+    chosen = labelled_sample(labels, docs, known, ["quality"], rows, "quality")
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     return train([r["text"].encode() for r in found], [int(r["quality"] == 1) for r in found])
 

@@ -144,10 +144,10 @@ def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rate:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Train on at most ``rows`` labelled documents outside the held-out fold."""
     known = F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)
-    chosen = labelled_sample(labels, known, ["toxic"], rows, "toxic")
+    chosen = labelled_sample(labels, docs, known, ["toxic"], rows, "toxic")
     found = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id")
     hashed = found.select("doc_id", "toxic", "_text").mapInArrow(_hash_batches, "doc_id long, toxic int, found binary")
-    rows = hashed.orderBy("doc_id", "found").collect()
+    rows = hashed.groupBy("doc_id").agg(F.min("found").alias("found"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return train([np.frombuffer(r["found"], dtype="<i4").astype(np.int64) for r in rows], [int(r["toxic"] == 1) for r in rows])
 
 

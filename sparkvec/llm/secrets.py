@@ -3,7 +3,8 @@
 :func:`trigram_query` derives from a rule's regular expression a Boolean query over lower-cased trigrams, an OR of ANDs
 that every match must satisfy; a rule without mandatory trigrams has none and scans every text. The index holds postings (trigram,
 doc_id) for the trigrams that the queries name; intersecting them gives each rule's candidate documents, and only those are
-verified by the expression itself. Index, intersection and verification are built-in expressions.
+verified by the expression itself. Index, intersection and verification are built-in expressions; texts stay where they are,
+and a text costs time in proportion to its length however many matches it has.
 
 Rules that begin with the three base kinds, then those the method adds: private key headers, personal access tokens
 and signed web tokens. Spans are code points, end exclusive, leftmost and not overlapping within a kind.
@@ -15,17 +16,21 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import let, table
+from sparkvec.llm.common import cut, let, table
 
 #: Strings that the analysis of one expression follows at once, at most; beyond that it gives up exactness, not soundness.
 LIMIT = 64
+#: Elements that a running sum appends to one array.
+BLOCK = 512
+#: Candidate documents that are broadcast to the texts, at most: an id and a few numbers each.
+MAX_BROADCAST = 1_000_000
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -71,67 +76,120 @@ def _need(strings: list[str]) -> Query | None:
     return None if not all(sets) else frozenset(sets)
 
 
-def _walk(nodes) -> tuple[list[str] | None, Query | None]:
-    """(all strings that the nodes match, or None; the query)."""
-    run: list[str] | None = [""]
-    query: Query | None = None
-
-    for op, arg in nodes:
-        exact: list[str] | None = None
-        inner: Query | None = None
-        if op is C.LITERAL:
-            exact = [chr(arg)]
-        elif op is C.IN:
-            chars = [chr(a) for o, a in arg if o is C.LITERAL]
-            exact = chars if len(chars) == len(arg) and len(chars) <= 8 else None
-        elif op is C.SUBPATTERN:
-            exact, inner = _walk(arg[3])
-        elif op is C.BRANCH:
-            parts = [_walk(x) for x in arg[1]]
-            if all(p[0] is not None for p in parts) and sum(len(p[0]) for p in parts) <= LIMIT:
-                exact = [s for p in parts for s in p[0]]
-            else:
-                inner = _either([_both(_need(p[0]) if p[0] is not None else None, p[1]) for p in parts])
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
-            low, high, what = arg
-            strings, q = _walk(what)
-            if strings is not None and high == 1 and low == 0:
-                exact = ["", *strings]
-            elif low >= 1:
-                inner = _both(_need(strings) if strings is not None else None, q)
-        elif op is C.AT:
-            exact = [""]
-        if exact is not None and run is not None and len(exact) * len(run) <= LIMIT:
-            run = list(dict.fromkeys(a + b for a in run for b in exact))
-            continue
-        if run is not None:
-            query = _both(query, _need(run))
-        query = _both(query, inner)
-        run = exact
-        if exact is None:
-            run = None
-        # what follows begins a new run; the whole is no longer exact
-        closed, more = _walk_rest(nodes, op, arg, run)
-        return None, _both(query, _both(_need(closed) if closed is not None else None, more))
-    return run, query
-
-
-def _walk_rest(nodes, op, arg, run):
-    """Analyse what follows the node at which exactness ended."""
-    items = list(nodes)
-    at = next(i for i, x in enumerate(items) if x[0] is op and x[1] is arg)
-    rest = items[at + 1 :]
-    if not rest:
-        return run, None
-    strings, query = _walk(rest)
-    if run is not None and strings is not None and len(run) * len(strings) <= LIMIT:
-        return [a + b for a in run for b in strings], query
-    return strings, _both(query, _need(run) if run is not None else None)
+_QUANTIFIER = re.compile(r"(?:([*+?])|\{(\d+)(,?)(\d*)\})[?+]?")
+_SPECIAL = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\x0b", "0": "\0"}
+#: Most members of a character class that are followed one by one.
+SET_MEMBERS = 8
+
+
+class _Reader:
+    """Reads a regular expression and returns, for each part of it, (all strings that it matches or None, its query)."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def peek(self, text: str) -> bool:
+        return self.pattern.startswith(text, self.at)
+
+    def either(self) -> tuple[list[str] | None, Query | None]:
+        """Alternatives up to a closing bracket or the end."""
+        parts = [self.sequence()]
+        while self.peek("|"):
+            self.at += 1
+            parts.append(self.sequence())
+        if all(p[0] is not None for p in parts) and sum(len(p[0]) for p in parts) <= LIMIT:
+            return [s for p in parts for s in p[0]], None
+        return None, _either([_both(_need(p[0]) if p[0] is not None else None, p[1]) for p in parts])
+
+    def sequence(self) -> tuple[list[str] | None, Query | None]:
+        run, query, whole = [""], None, True
+        while self.at < len(self.pattern) and not self.peek("|") and not self.peek(")"):
+            exact, inner = self.repeated()
+            if exact is not None and len(exact) * len(run) <= LIMIT:
+                run = list(dict.fromkeys(a + b for a in run for b in exact))
+                continue
+            query = _both(_both(query, _need(run)), inner)
+            run, whole = exact if exact is not None else [""], False
+        return (run, query) if whole else (None, _both(query, _need(run)))
+
+    def repeated(self) -> tuple[list[str] | None, Query | None]:
+        exact, query = self.single()
+        while m := _QUANTIFIER.match(self.pattern, self.at):
+            self.at = m.end()
+            low = {"*": 0, "+": 1, "?": 0}[m[1]] if m[1] else int(m[2])
+            if m[1] == "?" or (m[2] == "0" and m[4] == "1"):
+                exact, query = ["", *exact] if exact is not None else None, None
+            elif low != 1 or m[1] or m[3]:  # {1} changes nothing
+                exact, query = None, _both(_need(exact) if exact is not None else None, query) if low else None
+        return exact, query
+
+    def single(self) -> tuple[list[str] | None, Query | None]:
+        c = self.pattern[self.at]
+        self.at += 1
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return self.members(), None
+        if c == "\\":
+            return self.escape(), None
+        return None if c == "." else [""] if c in "^$" else [c], None
+
+    def group(self) -> tuple[list[str] | None, Query | None]:
+        around = False
+        if self.peek("?"):
+            m = re.compile(r"\?(?:(<?[=!])|P?<\w+>|>|[a-zA-Z-]*(?::|(?=\))))").match(self.pattern, self.at)
+            if m is None:
+                raise ValueError(f"cannot read {self.pattern!r} at {self.at}")
+            self.at, around = m.end(), bool(m[1])
+        inside = self.either()
+        if not self.peek(")"):
+            raise ValueError(f"{self.pattern!r} lacks a closing bracket")
+        self.at += 1
+        return ([""], None) if around else inside
+
+    def escape(self) -> list[str] | None:
+        c = self.pattern[self.at]
+        self.at += 1
+        if c in "xu":
+            n = 2 if c == "x" else 4
+            self.at += n
+            return [chr(int(self.pattern[self.at - n : self.at], 16))]
+        if c in "bBAZzG":
+            return [""]
+        if c in _SPECIAL:
+            return [_SPECIAL[c]]
+        return None if c.isalnum() else [c]
+
+    def members(self) -> list[str] | None:
+        """The characters of a class, None if it is negated, wide or nested."""
+        known, first = not self.peek("^"), True
+        out: list[str] = []
+        self.at += not known
+        while first or not self.peek("]"):
+            first = False
+            if self.peek("[") or self.peek("&&"):
+                raise ValueError(f"nested class in {self.pattern!r}")
+            c = self.pattern[self.at]
+            self.at += 1
+            found = self.escape() if c == "\\" else [c]
+            if self.peek("-") and not self.peek("-]") and found:
+                self.at += 1
+                last = self.pattern[self.at]
+                self.at += 1
+                last = self.escape() if last == "\\" else [last]
+                found = [chr(x) for x in range(ord(found[0]), ord(last[0]) + 1)] if last and ord(last[0]) - ord(found[0]) < SET_MEMBERS else None
+            known = known and found is not None
+            out += found or []
+        self.at += 1
+        return list(dict.fromkeys(out)) if known and len(out) <= SET_MEMBERS else None
 
 
 def trigram_query(pattern: str) -> Query | None:
     """OR of ANDs of trigrams, in lower case, that each match's text satisfies; None: no trigram is mandatory."""
-    strings, query = _walk(parser.parse(pattern))
+    reader = _Reader(pattern)
+    strings, query = reader.either()
+    if reader.at < len(pattern):
+        raise ValueError(f"{pattern!r} has a stray bracket")
     query = _both(query, _need(strings) if strings is not None else None)
     return None if query is None else frozenset(a for a in query if not any(b < a for b in query))
 
@@ -167,45 +225,62 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return held.select("doc_id", F.array_compact(F.array(*each)).alias("rules")).where(F.size("rules") > 0)
 
 
+def running_sums(values: Column, block: int = BLOCK) -> Column:
+    """The sum of all elements before each one, linear in the array: sums grow in blocks, so no accumulator holds more than
+    ``block`` or one element a block."""
+
+    def append(base: Column) -> tuple:
+        none = F.array().cast("array<int>")
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.struct(base.alias("at"), none.alias("out")), step, lambda a: a["out"]
+
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    placed = let(parts, lambda p: F.flatten(F.zip_with(p, F.aggregate(F.transform(p, total), *append(F.lit(0))), lambda own, base: F.aggregate(own, *append(base)))))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(placed)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, kind, end) of one rule: the pieces between matches and the matches themselves give the positions."""
     pattern = F.lit(rule.pattern)
 
     def placed(whole: Column, pieces: Column, checked: Column) -> Column:
-        steps = F.transform(whole, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(checked, i)).alias("own")))
-        empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        return F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, s: F.struct(
-                (a["at"] + s["gap"] + s["n"]).alias("at"),
-                F.when(
-                    s["own"] >= rule.least,
-                    F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), F.lit(order).alias("kind"), (a["at"] + s["gap"] + s["n"]).alias("end")))),
-                )
-                .otherwise(a["out"])
-                .alias("out"),
-            ),
-            lambda a: a["out"],
-        )
+        own = F.transform(whole, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(checked, i)).alias("own")))
+
+        def spans(steps: Column) -> Column:
+            def made(before: Column) -> Column:
+                each = F.transform(steps, lambda s, i: F.struct((F.get(before, i) + s["gap"]).alias("start"), F.lit(order).alias("kind"), (F.get(before, i) + s["gap"] + s["n"]).alias("end"), s["own"].alias("own")))
+                return F.transform(F.filter(each, lambda x: x["own"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+            return let(running_sums(F.transform(steps, lambda s: s["gap"] + s["n"])), made)
+
+        return let(own, spans)
 
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return let(whole, lambda w: F.when(F.size(w) == 0, none).otherwise(placed(w, F.split(text, rule.pattern, -1), checked)))
+    none = F.array().cast(SPANS)
+
+    def found(w: Column) -> Column:
+        pieces, checked = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        return F.when(F.size(w) == 0, none).otherwise(let(pieces, lambda p: let(checked, lambda c: placed(w, p, c))))
+
+    return let(whole, found)
+
 
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, found): spans (start, kind, end) of each row, sorted; kind is the index of the rule.
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, found): spans (start, kind, end) of each row, sorted; kind is the index of the rule."""
-    known = candidates(docs, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    Rows meet their candidate rules where they lie: up to ``max_broadcast`` candidate documents are sent to them, which is
+    checked; beyond that rows and candidates are joined by doc_id, with the same result."""
+    known = cut(candidates(docs, rules)).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+    if known.limit(max_broadcast + 1).count() <= max_broadcast:
+        known = F.broadcast(known)
 
     def scanned(text: Column) -> Column:
         parts = []
         for k, rule in enumerate(rules):
             spans = _spans(text, rule, k)
             if trigram_query(rule.pattern) is not None:
-                spans = F.when(F.array_contains(F.coalesce("_rules", F.array().cast("array<int>")), k), spans).otherwise(none)
+                spans = F.when(F.array_contains(F.coalesce("_rules", F.array().cast("array<int>")), k), spans).otherwise(F.array().cast(SPANS))
             parts.append(spans)
         return F.array_sort(F.concat(*parts))
 

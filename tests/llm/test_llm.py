@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -87,6 +88,53 @@ def test_trigram_queries_are_sound():
     assert secrets.trigram_query("(abc)?x") is None
 
 
+PATTERNS = {
+    r"ab+c{2}(?:xyz|uvw)?end": ["abcc" + x + "end" for x in ("", "xyz", "uvw")] + ["abbbccend"],
+    r"key\s*=\s*\w+": ["key = abc", "key=x"], r"[^a]bcd|\x41BCDE": ["xbcd", "ABCDE"], r"(?P<n>tok|key)en{0,1}s{1}(?=!)": ["tokes!", "keyens!"],
+    r"^x{3}\.y$": ["xxx.y"], r"(?i)HEAD(er)?": ["head", "HEADER"], r"a.c": ["abc"], r"pre(?:[0-9]|[a-c]){2,}post": ["pre12post", "preabc9post"], r"\bword\b|": ["word", ""],
+}
+
+
+@pytest.mark.parametrize("pattern", sorted(PATTERNS))
+def test_trigram_queries_of_other_patterns_are_sound(pattern):
+    query = secrets.trigram_query(pattern)
+    for t in PATTERNS[pattern]:
+        assert re.search(pattern, t)
+        assert query is None or any(all(x in t.lower() for x in conj) for conj in query)
+
+
+def test_trigram_queries_are_exact_where_they_can_be():
+    assert secrets.trigram_query("abcd(?:e+|[fg])hij") == frozenset([frozenset(["abc", "bcd", "hij"])])
+    assert secrets.trigram_query("xab[cd]") == frozenset([frozenset(["xab", "abc"]), frozenset(["xab", "abd"])])
+    assert secrets.trigram_query("a{3}") is None and secrets.trigram_query(r"abc\d{2}|xyz") == frozenset([frozenset(["abc"]), frozenset(["xyz"])])
+    for wrong in ("(abc", "abc)", "(?<abc", "[a[b]]"):
+        with pytest.raises((ValueError, IndexError)):
+            secrets.trigram_query(wrong)
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(4)
+    arrays = [rng.integers(0, 9, n).tolist() for n in (0, 1, 2, 7, 8, 9, 16, 100)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(arrays)], "i int, x array<int>").select("i", secrets.running_sums(F.col("x"), 8).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: [sum(x[:k]) for k in range(len(x))] for i, x in enumerate(arrays)}
+
+
+def test_a_text_of_many_matches_takes_seconds(spark):
+    many = " ".join(f"{i:032x}" for i in range(200_000)) + " é token=abcdef" + " password: hunter22" * 50_000
+    df = spark.createDataFrame([(1, many), (2, "x"), (3, many[-1000:])], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.secret_report(df).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["n_hex"], got[1]["n_assign"], got[1]["spans"]) == (200_000, 50_001, spans_by_hand(many))
+    assert got[3]["spans"] == spans_by_hand(many[-1000:])
+
+
+def test_both_ways_to_meet_candidates_agree(spark, documents, odd):
+    df = documents.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(None, "token=abcdefgh"), (4, "secret: abcdefgh")], "doc_id long, text string"))
+    ways = [sorted(map(str, secrets.find_secrets(df, max_broadcast=most).collect())) for most in (10**6, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == df.count() and sum("Row(start" in x for x in ways[0]) >= 3
+
+
 def test_secrets_odd(odd, spark):
     got = secrets.secret_report(odd).collect()
     assert len(got) == odd.count() and sum(r["n_assign"] for r in got) == 1
@@ -287,6 +335,16 @@ def test_counts_by_hand(spark, documents, odd):
         assert r["base_failed"] == (own[0] < 50 or 100 * own[4] > 50 * own[0]) and not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("few", [0, 2, 10**6])
+def test_all_ways_to_find_repeated_windows_agree(spark, few):
+    rng = np.random.default_rng(6)
+    texts = ["", "a", "a b", "a b c", "a a a a a", *(" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 120))) for _ in range(80))]
+    words = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "i int, w array<string>")
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    got = words.select("i", quality_rules.repeat_words(quality_rules._neighbours(hashes), few).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: counts_by_hand(t)[4] for i, t in enumerate(texts)}
+
+
 def grams_by_hand(t):
     w = t.split()
     return [(x,) for x in w] + [(3, x[-3:]) for x in w] + list(zip(w, w[1:], strict=False))

@@ -571,15 +571,83 @@ def test_equal_vectors_share_a_class(spark):
     assert ["/main", "/main/h1", "/main/p"] in classes and ["/main/hr"] in classes
 
 
+def test_unclosed_elements_hide_no_more_than_themselves():
+    for start in ("<svg>", "<title>", "<select>", "<object>", "<math>", "<canvas>", "<!-- note", "<style>", "<script>", "<textarea>", "<iframe src=x>", "<noscript>", "<button>", "<svg><g>"):
+        assert "Kept text here" in html_template.extract(f"<body>{start}<div><p>Kept text here</p></div></body>"), start
+    assert html_template.extract("<p>a <object>fallback</object> b</p><svg><text>c</text></svg><select><option>d</select>") == "a fallback b"
+    assert html_template.extract("<script>var a = '<p>no</p>'; if (1<2) {}</script><!-- <p>no</p> --><STYLE>p{}</style ><p>yes</p>") == "yes"
+
+
+def test_headers_inside_the_article_stay():
+    body = "<p>" + "Words of the article. " * 20 + "</p>"
+    for head in ("<div class='post-header'><h1>Head</h1></div>", "<header class='entry-header'><h1>Head</h1></header>", "<h1>Head</h1>"):
+        assert html_template.extract(f"<div class='header'>Site</div><article>{head}<div class='text'>{body}</div></article>").startswith("Head\n\nWords")
+        assert html_template.extract(f"<body><h1>Head</h1><div>{body}</div><div>small print</div></body>").startswith("Head\n\nWords")
+
+
+def test_long_and_deep_pages():
+    import tracemalloc
+
+    deep = "<div>" * 40_000 + "<p>Deep text</p>" + "</div>" * 40_000 + "<p>end</p>" + "</x></b>" * 20_000
+    tracemalloc.start()
+    began = time.time()
+    assert "Deep text" in html_template.extract(deep)
+    assert len(html_template.page_tokens(deep)) > 40_000
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    wide = "<p>" + "x " * 2_000_000 + "</p>" + "<p>y</p>" * 50_000 + "<title>" * 20_000 + "<!--" * 20_000
+    assert html_template.extract(wide).count("y") == 50_000
+    assert time.time() - began < 60
+
+
+def true_text(page):
+    inside = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
+    import html as entities
+
+    parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+    return "\n\n".join(p for p in parts if p)
+
+
+NAMES = re.compile(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')")
+STRIPS = {
+    "unwrapped": lambda h: NAMES.sub("", re.sub(r"</?(?:article|main)\b[^>]*>", "", h)),
+    "all divs": lambda h: NAMES.sub("", re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b", r"<\1div", h)),
+}
+
+
+@pytest.mark.parametrize("how", sorted(STRIPS))
+def test_slots_decide_without_names(spark, larger, how):
+    """Pages without their article and main tags and all names give the marked text, and the template has its share in it."""
+    rows = spark.read.parquet(f"{larger}/pages.parquet").collect()
+    df = spark.createDataFrame([(r["page_id"], r["url"], STRIPS[how](r["html"])) for r in rows], "page_id long, url string, html string").repartition(8)
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(df).collect()}
+    true = {r["page_id"]: true_text(r["html"]) for r in rows}
+    right = sum(got[i] == t for i, t in true.items())
+    alone = sum(html_template.extract(STRIPS[how](r["html"])) == true[r["page_id"]] for r in rows)
+    assert right >= 0.9 * len(rows) and right > alone
+
+
+def test_the_template_tells_slots_apart(spark):
+    """Short pages of a host are cut by where its other pages have their text, and slots of returning text go whole."""
+    rng = np.random.default_rng(2)
+    adverts = ["Buy our tea now", "Best shoes in town", "Cheap flights today"]
+
+    def page(i):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 9999, 3 if i == 4 else 200))
+        return f"<div><div>{adverts[i % 3]}</div><div><p>Title {i}</p><p>{own}</p></div><div>Last: {adverts[(i + 1) % 3]}</div></div>", f"Title {i}\n\n{own}"
+
+    pages = [page(i) for i in range(12)]
+    df = spark.createDataFrame([(i, f"https://u@H.example:80/{i}", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(df).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(pages)}
+    assert html_template.extract(pages[4][0]) != pages[4][1]
+    assert {r["host"] for r in html_template.templates(df).collect()} == {"h.example"}
+
+
 def test_pages_of_the_driver(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_template.op8_html_template(spark, sf).collect()}
-    import html as entities
-
-    for r in pages.collect():
-        inside = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
-        parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
-        assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
+    assert got == {r["page_id"]: true_text(r["html"]) for r in pages.collect()}
 
 
 # 9 near duplicates

@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import table
+from sparkvec.llm.common import cut, table
 
 MIN_SITES = 10
 #: Share of the threshold by which an estimate may miss it and be counted exactly; lg_k 12 errs by about 1.6 %.
 BAND = 0.25
 LG_K = 12
+#: Lines near the threshold that are broadcast, at most.
+MAX_BROADCAST = 1_000_000
 #: Boilerplate lines that are put into the scan as a literal set, at most; beyond that they are joined.
 MAX_LITERAL = 20_000
 BLANK = " \t\x0b\f\r"
@@ -39,10 +41,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
-    """(h, doc_id, pos): the hash of each boilerplate line and its first occurrence."""
+def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(h, doc_id, pos): the hash of each boilerplate line and its first occurrence.
+
+    Only lines whose estimate is near the threshold are counted exactly. Up to ``max_broadcast`` of them, eight bytes each, are
+    sent to the lines, so that only theirs are shuffled, one row for each site; more are joined, with the same result."""
     lines = _lines(docs)
-    spread = (
+    spread = cut(
         lines.groupBy("h")
         .agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
         .where(F.col("n") >= min_sites)
@@ -50,8 +55,14 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float =
         .where(F.col("sites") >= min_sites * (1 - band))
     )
     near = spread.where(F.col("sites") < min_sites * (1 + band)).select("h")
-    pairs = lines.select("h", "site").distinct()  # before the join, so that a line of a third of all rows is a few of them
-    exact = pairs.join(near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("exact_sites"))
+    n = near.limit(max_broadcast + 1).count()
+    if n == 0:
+        return spread.where(F.col("sites") >= min_sites).select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
+    if n <= max_broadcast:
+        pairs = lines.select("h", "site").join(F.broadcast(near), "h", "left_semi").distinct()
+    else:  # distinct before the join, so that a line of a third of all rows is a few of them
+        pairs = lines.select("h", "site").distinct().join(near, "h", "left_semi")
+    exact = pairs.groupBy("h").agg(F.count("*").alias("exact_sites"))
     return (
         spread.join(exact, "h", "left")
         .where(F.coalesce("exact_sites", "sites") >= min_sites)

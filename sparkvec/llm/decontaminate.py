@@ -6,9 +6,10 @@ n - n + 1 = 1 is necessary: its rarest. A first pass counts, over all documents,
 occurs; the second looks documents up by rarest shingles only, applies the positional bound (the window must
 begin inside the text) and the length bound (and end inside it), and verifies the window word by word.
 
-The benchmark is the stated query set. It is dealt into blocks of at most ``BLOCK_WORDS`` words by a hash of the item,
-so what is sent to the executors has that bound; each block runs over all documents, and hit ranges of several blocks
-are merged by doc_id. Documents are never shuffled.
+The benchmark is the stated query set. It is dealt into blocks of at most about ``BLOCK_WORDS`` words by a hash of the item; one
+block at a time is on the driver and the executors, and makes two passes over the documents. What a block but the last finds is
+a table of texts with hits, told apart by a 128-bit hash, and is written to the shared folder before the next block comes.
+Documents meet it by that hash, and texts are shuffled only beyond ``MAX_BROADCAST`` texts with hits.
 
 Defined results: null, empty and wordless texts have no words, no hits and are clean; wordless or null items
 have no windows; items that repeat an item_id count as one item; rows that repeat a doc_id are judged one by one;
@@ -18,18 +19,23 @@ an empty benchmark leaves all clean. Further columns of either table are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import table
+from sparkvec.llm.common import cut, table
 
 WINDOW = 10
 SHINGLE = 5
-#: Words of the benchmark items that are sent to the executors at once, at most about.
-BLOCK_WORDS = 2_000_000
+#: Words of the benchmark items that are sent to the executors at once, at most about: some 100 MB in a worker.
+BLOCK_WORDS = 1_000_000
+#: Texts with hits, and their ranges and items, that are broadcast, at most; more are joined, with the same result.
+MAX_BROADCAST = 1_000_000
 # All but ASCII letters, digits and what lies beyond ASCII ends a word.
 GAPS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,13 +61,15 @@ def _rolling(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Windows of a block of benchmark items and their shingles. Rarity comes later, by :meth:`order`."""
+    """Windows of a block of benchmark items and their shingles, in flat arrays. Rarity comes later, by :meth:`order`."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.window, self.vocabulary = window, {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[object] = []
-        rows: dict[bytes, list[int]] = {}
         by_item: dict[object, int] = {}
+        known: dict[bytes, int] = {}
+        words, starts, lengths, owners = [], [], [], []
+        at = 0
         for item, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in split_words(text)], dtype=np.int32)
             if not len(ids):
@@ -70,28 +78,40 @@ class Index:
                 by_item[item] = len(self.items)
                 self.items.append(item)
             k = min(window, len(ids))
-            for at in range(len(ids) - k + 1):
-                owners = rows.setdefault(ids[at : at + k].tobytes(), [])
-                if not owners or owners[-1] != by_item[item]:
-                    owners.append(by_item[item])
-        self.windows = [np.frombuffer(w, dtype=np.int32) for w in rows]
-        self.owners = list(rows.values())
-        #: Shingle width of each window, and the sorted distinct codes of each width.
-        self.width = [min(shingle, len(w)) for w in self.windows]
-        parts: dict[int, list[np.ndarray]] = {}
-        for w, s in zip(self.windows, self.width, strict=True):
-            parts.setdefault(s, []).append(_rolling(w, s))
-        self.codes = {s: np.unique(np.concatenate(c)) for s, c in sorted(parts.items())}
-        self.prefix: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
+            for p in range(len(ids) - k + 1):
+                w = known.setdefault(ids[p : p + k].tobytes(), len(starts))
+                if w == len(starts):
+                    starts.append(at + p)
+                    lengths.append(k)
+                owners.append((w, by_item[item]))
+            words.append(ids)
+            at += len(ids)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.int32)
+        #: Each window's place in ``words``, its length, and its items from ``first[w]`` on in ``owners``.
+        self.starts, self.lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
+        pairs = np.unique(np.array(owners, np.int64).reshape(-1, 2), axis=0)
+        self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(starts) + 1))
+        #: For each shingle width the codes of all windows' shingles, and the sorted distinct ones.
+        self.widths = {int(s): np.flatnonzero(np.minimum(self.lengths, shingle) == s) for s in np.unique(np.minimum(self.lengths, shingle))}
+        self.codes = {s: np.unique(np.concatenate([_rolling(self.window(w), s) for w in which])) for s, which in self.widths.items()}
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def window(self, w: int) -> np.ndarray:
+        return self.words[self.starts[w] : self.starts[w] + self.lengths[w]]
 
     def order(self, frequency: dict[tuple[int, int], int]) -> None:
         """Choose each window's rarest shingle by (document frequency, code, position)."""
-        at: dict[int, dict[int, list[tuple[int, int]]]] = {s: {} for s in self.codes}
-        for w, (ids, s) in enumerate(zip(self.windows, self.width, strict=True)):
-            codes = _rolling(ids, s).tolist()
-            _, code, pos = min((frequency.get((s, c), 0), c, p) for p, c in enumerate(codes))
-            at[s].setdefault(code, []).append((w, pos))
-        self.prefix = {s: (np.array(sorted(found), dtype=np.uint64), [found[c] for c in sorted(found)]) for s, found in at.items()}
+        for s, which in self.widths.items():
+            counts = np.array([frequency.get((s, c), 0) for c in self.codes[s].tolist()], np.int64)
+            found = []
+            for w in which.tolist():
+                codes = _rolling(self.window(w), s)
+                at = np.searchsorted(self.codes[s], codes)
+                p = int(np.lexsort((codes, counts[at]))[0])
+                found.append((int(at[p]), w, p))
+            chosen = np.array(sorted(found), np.int64).reshape(-1, 3)
+            codes, first = np.unique(chosen[:, 0], return_index=True)
+            self.prefix[s] = (self.codes[s][codes], np.append(first, len(chosen)), chosen[:, 1:])
 
     def ids(self, text: bytes) -> np.ndarray:
         words = split_words(text)
@@ -128,16 +148,16 @@ class Index:
         ranges: set[tuple[int, int]] = set()
         owners: set[int] = set()
         n = len(ids)
-        for s, where, which in self.matches(ids, {s: c for s, (c, _) in self.prefix.items()}):
-            table = self.prefix[s][1]
+        for s, where, which in self.matches(ids, {s: p[0] for s, p in self.prefix.items()}):
+            _, first, chosen = self.prefix[s]
             for p, c in zip(where.tolist(), which.tolist(), strict=True):
-                for w, offset in table[c]:
-                    start, length = p - offset, len(self.windows[w])
+                for w, offset in chosen[first[c] : first[c + 1]].tolist():
+                    start, length = p - offset, int(self.lengths[w])
                     if start < 0 or start + length > n:
                         continue
-                    if np.array_equal(ids[start : start + length], self.windows[w]):
+                    if np.array_equal(ids[start : start + length], self.window(w)):
                         ranges.add((start, start + length))
-                        owners.update(self.owners[w])
+                        owners.update(self.owners[self.first[w] : self.first[w + 1]].tolist())
         return merge(ranges), owners
 
 
@@ -166,71 +186,116 @@ def _frequencies(index):
     return count
 
 
-FOUND = "_n_words long, _ranges array<array<long>>, _items array<string>"
-_FOUND = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+HITS = "_k1 long, _k2 long, ranges array<array<long>>, items array<string>"
+_HITS = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
 
 
 def _search(index):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            out = []
+            for k, text in enumerate(batch.column("text").cast(pa.binary())):
+                ranges, owners = own.hits(own.ids(text.as_py() or b""))
+                if ranges:
+                    out.append((batch.column("_k1")[k].as_py(), batch.column("_k2")[k].as_py(), [list(x) for x in ranges], [str(own.items[i]) for i in owners]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(_HITS)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _HITS, strict=True)], names=["_k1", "_k2", "ranges", "items"])
+
+    return search
+
+
+def _judge(index, rest: list[str]):
+    """All rows with their words, and hits of this block merged with those of earlier ones."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
             n_words, ranges, items = [], [], []
-            for text in batch.column("_text").cast(pa.binary()):
+            earlier = zip(batch.column("_ranges"), batch.column("_items"), strict=True)
+            for text, (a, b) in zip(batch.column("_text").cast(pa.binary()), earlier, strict=True):
                 ids = own.ids(text.as_py() or b"")
                 found, owners = own.hits(ids)
+                if a.is_valid:
+                    found = merge([*found, *map(tuple, a.as_py())])
                 n_words.append(len(ids))
                 ranges.append([list(x) for x in found])
-                items.append([str(own.items[i]) for i in owners])
-            rest = [(f.name, batch.column(f.name)) for f in batch.schema if f.name != "_text"]
-            yield pa.record_batch([c for _, c in rest] + [pa.array(v, t) for v, t in zip((n_words, ranges, items), _FOUND, strict=True)], names=[n for n, _ in rest] + ["_n_words", "_ranges", "_items"])
+                items.append(sorted({*(str(own.items[i]) for i in owners), *(b.as_py() or ())}))
+            new = (pa.array(n_words, pa.int64()), pa.array(ranges, _HITS[2]), pa.array(items, _HITS[3]))
+            yield pa.record_batch([*(batch.column(c) for c in rest), *new], names=[*rest, "n_words", "ranges", "items"])
 
-    return search
+    return judge
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, bytes]]]:
+def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[tuple[bool, Broadcast]]:
+    """(whether it is the last, the broadcast index) of each block of the benchmark; an empty benchmark is one empty block."""
+    spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2 + 1
     n = -(-words // block_words)
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in part.collect()]
+        index = Index([(r["item_id"], r["text"].encode()) for r in part.collect()], window, shingle)
+        sent = spark.sparkContext.broadcast(index)
+        counted = texts.mapInArrow(_frequencies(sent), "width int, code long, n long").groupBy("width", "code").agg(F.sum("n").alias("n"))
+        index.order({(r["width"], r["code"] & (2**64 - 1)): r["n"] for r in counted.collect()})
+        sent.destroy()
+        yield k == n - 1, spark.sparkContext.broadcast(index)
 
 
-def _merge_blocks(a: list[list[list[int]]]) -> list[list[int]]:
-    return [list(x) for x in merge((r[0], r[1]) for part in a for r in part)]
+def _keys() -> list[Column]:
+    """A 128-bit hash of the text; a null one hashes like no text at all, and has no hits."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _merged(hits: DataFrame) -> DataFrame:
+    """Hits of several blocks as one row a text, with the union of its ranges."""
+    keys = ["_k1", "_k2"]
+    each = hits.select(*keys, F.explode("ranges").alias("r")).select(*keys, F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    before = W.partitionBy(*keys).orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("a", "b").rowsBetween(W.unboundedPreceding, 0)
+    islands = each.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(before), F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(upto))
+    ranges = islands.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("a", "b"))).alias("ranges"))
+    items = hits.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return ranges.join(items, keys)
+
+
+def _block_hits(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """What one block finds, written to the shared folder; its broadcast is released."""
+    texts = docs.select(F.col("text").cast("string").alias("text"), *_keys()).where("text is not null")
+    found = cut(texts.mapInArrow(_search(sent), HITS).dropDuplicates(["_k1", "_k2"]))
+    sent.destroy()
+    return found
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else cut(_merged(reduce(DataFrame.union, parts)))
+
+
+def _sent(hits: DataFrame, max_broadcast: int) -> DataFrame:
+    size = hits.agg(F.coalesce(F.sum(1 + F.size("ranges") + F.size("items")), F.lit(0))).first()[0]
+    return F.broadcast(hits) if size <= max_broadcast else hits
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The columns of ``docs`` but text, with ``n_words``, ``ranges`` (merged [start, end) of hit words) and ``items`` (ids as sorted strings)."""
-    spark = docs.sparkSession
     plain = [c for c in docs.columns if c not in ("text", "n_words", "ranges", "items")]
-    texts = docs.select(F.col("text").cast("string").alias("_text"))
-    given = docs.select(*plain, F.col("text").cast("string").alias("_text"))
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
-    shape = f"{rest}, {FOUND}" if rest else FOUND
-    out = []
-    for items in _blocks(benchmark, block_words):
-        index = Index(items, window, shingle)
-        sent = spark.sparkContext.broadcast(index)
-        counted = texts.mapInArrow(_frequencies(sent), "width int, code long, n long").groupBy("width", "code").agg(F.sum("n").alias("n"))
-        index.order({(r["width"], r["code"] & (2**64 - 1)): r["n"] for r in counted.collect()})
-        out.append(spark.sparkContext.broadcast(index))
-    if not out:
-        return docs.select(*plain, F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("ranges"), F.array().cast("array<string>").alias("items"))
-    if len(out) == 1:
-        found = given.mapInArrow(_search(out[0]), shape)
+    names = {c: f"_c{i}" for i, c in enumerate(plain)}  # columns may have the names used here
+    given = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text").cast("string").alias("_text"), *_keys())
+    parts, last, sent = [], False, None
+    for last, sent in _indexed(docs, benchmark, window, shingle, block_words):
+        if not last:
+            parts.append(_block_hits(docs, sent))
+    if parts:
+        hits = _sent(_union(parts), max_broadcast).select("_k1", "_k2", F.col("ranges").alias("_ranges"), F.col("items").alias("_items"))
+        given = given.join(hits, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     else:
-        numbered = given.withColumn("_row", F.monotonically_increasing_id())
-        each = [numbered.mapInArrow(_search(b), f"{rest}, _row long, {FOUND}" if rest else f"_row long, {FOUND}") for b in out]
-        found = each[0]
-        for more in each[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("_row", *plain).agg(
-            F.max("_n_words").alias("_n_words"),
-            F.udf(_merge_blocks, "array<array<bigint>>")(F.collect_list("_ranges")).alias("_ranges"),
-            F.flatten(F.collect_list("_items")).alias("_items"),
-        )
-    return found.select(*plain, F.col("_n_words").alias("n_words"), F.col("_ranges").alias("ranges"), F.array_sort(F.array_distinct("_items")).alias("items"))
+        given = given.drop("_k1", "_k2").withColumns({"_ranges": F.lit(None).cast("array<array<bigint>>"), "_items": F.lit(None).cast("array<string>")})
+    shape = ", ".join([f"`{n}` {given.schema[n].dataType.simpleString()}" for n in names.values()] + ["n_words long, ranges array<array<long>>, items array<string>"])
+    found = given.mapInArrow(_judge(sent, list(names.values())), shape)
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", "ranges", "items")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -239,11 +304,12 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with their columns."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # columns may have the names of the results
-    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
-    return find_leaks(rows, benchmark).where(F.size("ranges") == 0).select(*[F.col(n).alias(c) for c, n in names.items()])
+    hits = _union([_block_hits(docs, sent) for _, sent in _indexed(docs, benchmark, WINDOW, SHINGLE, block_words)])
+    keys = _sent(hits.select("_k1", "_k2", F.array().alias("ranges"), F.array().alias("items")), max_broadcast)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *_keys())  # columns may have the names of the keys
+    return rows.join(keys, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

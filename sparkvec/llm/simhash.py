@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import cut, table
+from sparkvec.llm.common import SPACE, cut, table
 from sparkvec.llm.graph import connected_components
 
 RADIUS = 3
@@ -49,6 +49,8 @@ BAND_ROWS = 4
 #: Distinct texts of a band's bucket of which all pairs are compared; in a larger one each is compared with ``HUBS`` of them.
 ALL_PAIRS = 64
 HUBS = 4
+#: Hashes that are broadcast, at most, 16 bytes each; more are joined.
+MAX_BROADCAST = 1_000_000
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -198,17 +200,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, in_task: int = IN_TAS
     return _labelled(fps, distinct, links(distinct, radius, in_task))
 
 
-def _labelled(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of the rows of ``fps``, whose ``distinct`` values of fp are linked by ``edges``."""
+def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, n, component_id, linked) of the ``distinct`` values of fp (fp, rep, n), which ``edges`` link."""
     roots = connected_components(edges)
     linked = cut(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "rep"))
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = linked.join(least, "root").select("fp", "least")
-    labels = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "least", F.lit(True).alias("linked"))
+    return distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"), F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def _labelled(fps: DataFrame, distinct: DataFrame, edges: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+    """(doc_id, fp, component_id) of the rows of ``fps``, whose ``distinct`` values of fp are linked by ``edges``."""
+    labels = _components(distinct, edges)
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = labels.where(F.col("n") > HOT_SHARE * total).select("fp", "component_id")
+    hot = labels.where(F.col("n") > hot_share * total).select("fp", "component_id")
     copies = fps.join(F.broadcast(hot), "fp")
-    others = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.where(F.col("n") <= HOT_SHARE * total), "fp")
+    others = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.where(F.col("n") <= hot_share * total).select("fp", "component_id"), "fp")
     return copies.unionByName(others, allowMissingColumns=True).select("doc_id", "fp", "component_id")
 
 
@@ -279,15 +286,21 @@ def _verify_batches(width: int, similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, all_pairs: int = ALL_PAIRS) -> DataFrame:
+def _few(df: DataFrame, max_broadcast: int) -> DataFrame:
+    """``df``, for a broadcast if it has no more rows than that; the rows are a few numbers each."""
+    return F.broadcast(df) if df.limit(max_broadcast + 1).count() <= max_broadcast else df
+
+
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, all_pairs: int = ALL_PAIRS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(a, b) links between texts (fp, text) whose shingle sets have the Jaccard similarity or more, all of them verified.
 
     Candidates share a band of min-hashes. A bucket's pairs are all compared up to ``all_pairs`` texts; in a larger one
-    each text is compared with the ``HUBS`` texts of the smallest hashes, so that work is linear in the bucket's size.
+    each text is compared with ``HUBS`` texts, others in each bucket, so that work is linear in the bucket's size. Only texts of
+    candidate pairs are shuffled.
     """
-    rows = texts.groupBy("fp").agg(F.min("text").alias("text"))
-    keys = cut(rows.mapInArrow(_band_batches(width), "fp long, size int, keys array<long>")).select(F.struct("fp", "size").alias("s"), F.explode("keys").alias("key"))
-    hubs = [F.min(F.struct(F.xxhash64("s.fp", F.lit(k)).alias("h"), F.col("s").alias("s")))["s"] for k in range(HUBS)]
+    banded = cut(texts.mapInArrow(_band_batches(width), "fp long, size int, keys array<long>").dropDuplicates(["fp"]))
+    keys = banded.select(F.struct("fp", "size").alias("s"), F.explode("keys").alias("key"))
+    hubs = [F.min(F.struct(F.xxhash64("s.fp", "key", F.lit(k)).alias("h"), F.col("s").alias("s")))["s"] for k in range(HUBS)]
     buckets = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where("n > 1"))
     small = (
         keys.join(buckets.where(F.col("n") <= all_pairs).select("key"), "key")
@@ -299,8 +312,8 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int =
     large = keys.join(buckets.where(F.col("n") > all_pairs), "key").select(F.explode("hubs").alias("a"), F.col("s").alias("b"))
     close = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")
     pairs = cut(small.union(large).where((F.col("a.fp") != F.col("b.fp")) & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    found = rows.join(wanted, "fp", "left_semi")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    found = cut(texts.join(_few(wanted, max_broadcast), "fp", "left_semi").dropDuplicates(["fp"]))
     return (
         pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
         .join(found.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
@@ -309,17 +322,26 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int =
     )
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their near copies; rows without an id stay. Of rows that
-    repeat a doc_id all stay, being one document. Near copies are linked by :func:`similar_links`; texts are told apart
-    by 64-bit hashes, and those without words are alike."""
+def _text_hash() -> tuple:
+    """(hash, text): null is empty, and texts without words are alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    fp = F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+    return F.when(F.btrim(text, F.lit(SPACE)) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(text)), text
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of the near copies of their text; rows without an id stay. Each row
+    is judged by its own text, so of rows that repeat a doc_id those stay whose text has no copy under a smaller id. Near
+    copies are linked by :func:`similar_links`; texts are told apart by 64-bit hashes, and those without words are alike.
+
+    Up to ``max_broadcast`` hashes with copies are sent to the rows, so that no text moves; more are joined, with the same result."""
+    fp, text = _text_hash()
     fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp.alias("fp"))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = _labelled(fps, distinct, similar_links(docs.select(fp.alias("fp"), text.alias("text")), similarity, width))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = _components(distinct, similar_links(docs.select(fp.alias("fp"), text.alias("text")), similarity, width, max_broadcast=max_broadcast))
+    copies = cut(found.where("n > 1 or linked").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_least")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), fp.alias("_fp"))  # columns may have these names
+    stays = F.col("_least").isNull() | F.col("_id").isNull() | (F.col("_id") == F.col("_least"))
+    return rows.join(_few(copies, max_broadcast), "_fp", "left").where(stays).select("_row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

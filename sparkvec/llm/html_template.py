@@ -47,11 +47,13 @@ DOMINANT = 0.75
 MINOR = 0.2
 #: Slots and texts of all hosts' templates that are broadcast, at most (under 250 bytes each); beyond that pages are joined by host.
 MAX_BROADCAST = 100_000
+#: Hosts whose numbers of pages are broadcast, at most; more are joined.
+MAX_HOSTS = 200_000
 #: A longer path is replaced by its hash, as is a longer name, so that a token has a bounded size at any depth.
 PATH_CHARS = 200
 NAME_CHARS = 80
 #: Tokens that a worker sums before it passes them on.
-HELD_TOKENS = 100_000
+HELD_TOKENS = 20_000
 #: Places that containers alike are told apart by.
 PLACES = 8
 
@@ -436,12 +438,12 @@ def host_of(url: Column) -> Column:
     return F.lower(found)
 
 
-_ROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("kind", pa.string()), ("above", pa.string()), *[(c, pa.int64()) for c in ("n_pages", "n", "low", "high", "chars")]])
+_ROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("kind", pa.string()), ("above", pa.string()), *[(c, pa.int64()) for c in ("n_pages", "n", "low", "high", "chars", "direct")]])
 
 
 def page_tokens(page: str) -> dict[str, list]:
-    """Each differentiated token of a page: its kind, the slot around it, how often it occurs, and its characters of text (a
-    slot's are the unlinked ones in and below it)."""
+    """Each differentiated token of a page: its kind, the slot around it, how often it occurs, its characters of text (a slot's
+    are the unlinked ones in and below it), and those directly in a slot."""
     parsed = Page(page)
     blocks = parsed.blocks()
     slots = page_slots(parsed.nodes, blocks)
@@ -449,13 +451,14 @@ def page_tokens(page: str) -> dict[str, list]:
     for node in parsed.nodes[1:]:
         if node.block is node:
             kind = "slot" if node.slot is node and not node.side else "tag"
-            row = found.setdefault(node.path, [kind, node.parent.slot.path, 0, slots[node.path].volume if kind == "slot" else 0])
+            own = slots[node.path] if kind == "slot" else Slot("", 0)
+            row = found.setdefault(node.path, [kind, node.parent.slot.path, 0, own.volume, own.direct])
             row[2] += 1
     for b in blocks:
-        row = found.setdefault(b.token, ["text", b.owner.slot.path, 0, 0])
+        row = found.setdefault(b.token, ["text", b.owner.slot.path, 0, 0, 0])
         row[2] += 1
         row[3] += 0 if b.linked else len(b.text)
-    found[""] = ["slot", "", 1, slots[""].volume]  # the page itself
+    found[""] = ["slot", "", 1, slots[""].volume, slots[""].direct]  # the page itself
     return found
 
 
@@ -468,13 +471,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         found: dict[tuple[str, str], list] = {}
-        for host, page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for host, page_id, url, page in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
             hashes: dict[int, int] = {}
-            for token, (kind, above, n, chars) in page_tokens(page or "").items():
+            for token, (kind, above, n, chars, direct) in page_tokens(page or "").items():
                 if n not in hashes:
                     hashes[n] = xxhash.xxh64_intdigest(f"{page_id}\0{url}\0{n}")
-                sums = found.setdefault((host, token), [kind, above, 0, 0, 0, 0, 0])
-                for k, v in enumerate((1, n, hashes[n] & 0x7FFFFFFF, hashes[n] >> 33, chars), start=2):
+                sums = found.setdefault((host, token), [kind, above, 0, 0, 0, 0, 0, 0])
+                for k, v in enumerate((1, n, hashes[n] & 0x7FFFFFFF, hashes[n] >> 33, chars, direct), start=2):
                     sums[k] += v
             if len(found) > HELD_TOKENS:
                 yield rows(found)
@@ -496,25 +499,28 @@ def equivalence_classes(pages: DataFrame, support: float = SUPPORT, least_pages:
 def _classes(pages: DataFrame, support: float, least_pages: int) -> DataFrame:
     """(host, host_pages, class, members): the classes, the page itself among their members, with the members' slots and text."""
     rows = _pages(pages)
+    numbers = ("n_pages", "n", "low", "high", "chars", "direct")
     summed = (
-        rows.mapInArrow(_occurrences, "host string, token string, kind string, above string, n_pages long, n long, low long, high long, chars long")
-        .groupBy("host", "token")
-        .agg(F.min("kind").alias("kind"), F.min("above").alias("above"), *[F.sum(c).alias(c) for c in ("n_pages", "n", "low", "high", "chars")])
+        rows.mapInArrow(_occurrences, "host string, token string, kind string, above string, " + ", ".join(f"{c} long" for c in numbers))
+        .groupBy("host", "token", "kind", "above")
+        .agg(*[F.sum(c).alias(c) for c in numbers])
     )
-    counted = summed.join(rows.groupBy("host").agg(F.count("*").alias("host_pages")), "host")
     is_text = F.col("kind") == "text"
+    hosts = cut(rows.groupBy("host").agg(F.count("*").alias("host_pages")))
+    if hosts.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS:
+        hosts = F.broadcast(hosts)
+    counted = summed.where(~is_text | (F.col("n_pages") > 1)).join(hosts, "host")
     valid = (F.col("n_pages") >= support * F.col("host_pages")) & (~is_text | (F.col("n_pages") >= least_pages))
     vector = F.struct("n_pages", "n", "low", "high", is_text.alias("text")).alias("class")
-    member = F.struct("token", "kind", "above", "chars", vector)
-    # A slot and the texts directly in it meet, so that the slot knows how much of them comes back.
-    met = counted.groupBy("host", "host_pages", F.when(is_text, F.col("above")).otherwise(F.col("token")).alias("place")).agg(
-        F.collect_list(F.when(valid, member)).alias("members"),
-        F.sum(F.when(is_text, F.col("chars")).otherwise(0)).alias("direct"),
-        F.sum(F.when(is_text & (F.col("n_pages") > 1), F.col("chars")).otherwise(0)).alias("again"),
+    member = F.struct("token", "kind", "above", "chars", "direct", vector)
+    # A slot and the returning texts directly in it meet, so that the slot knows how much of its text comes back.
+    met = (
+        counted.where(is_text | valid)
+        .groupBy("host", "host_pages", F.when(is_text, F.col("above")).otherwise(F.col("token")).alias("place"))
+        .agg(F.collect_list(F.when(valid, member)).alias("members"), F.sum(F.when(is_text, F.col("chars")).otherwise(0)).alias("again"))
     )
-    each = met.select("host", "host_pages", "direct", "again", F.explode("members").alias("m"))
-    own = F.col("m.kind") == "slot"
-    fields = [F.col("m.token").alias("token"), F.col("m.kind").alias("kind"), F.col("m.above").alias("above"), F.col("m.chars").alias("chars"), F.when(own, F.col("direct")).otherwise(0).alias("direct"), F.when(own, F.col("again")).otherwise(0).alias("again")]
+    each = met.select("host", "host_pages", "again", F.explode("members").alias("m"))
+    fields = [*[F.col(f"m.{c}").alias(c) for c in ("token", "kind", "above", "chars", "direct")], F.when(F.col("m.kind") == "slot", F.col("again")).otherwise(0).alias("again")]
     return each.groupBy("host", "host_pages", F.col("m.class").alias("class")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("members"))
 
 

@@ -22,6 +22,47 @@ def scalar_max_pool(weights: DataFrame) -> DataFrame:
     return weights.groupBy("id", "term").agg(F.max("weight").alias("weight")).where("weight > 0")
 
 
+def _pooled(logits: Column | str, log: bool) -> Column:
+    """Entries (term, weight) of an array of (term, logit), the largest of each term where it is over 0: the array is sorted, and
+    the first of each run stays."""
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (x["term"] != F.get(s, i - 1)["term"]))
+    ranked = F.sort_array(F.transform(logits, lambda x: F.struct(x["term"].alias("term"), (-x["logit"]).alias("m"))))
+    best = F.filter(F.transform(F.array(ranked), first)[0], lambda x: x["m"] < 0)
+    return F.transform(best, lambda x: F.struct(x["term"].alias("term"), (F.log1p(-x["m"]) if log else -x["m"]).alias("weight")))
+
+
+def _rows(rows: DataFrame, entries: Column) -> DataFrame:
+    return rows.select("id", F.explode(entries).alias("e")).select("id", "e.term", "e.weight")
+
+
+def splade_pool_rows(rows: DataFrame) -> DataFrame:
+    """:func:`splade_pool` of (id, logits array<struct<term, logit>>): texts whose tokens are one row are pooled in it, and nothing
+    is shuffled."""
+    return _rows(rows, _pooled("logits", True))
+
+
+def scalar_max_pool_rows(rows: DataFrame) -> DataFrame:
+    """:func:`scalar_max_pool` of (id, logits array<struct<term, logit>>), pooled in each row."""
+    return _rows(rows, _pooled("logits", False))
+
+
+def term_counts(words: Column | str) -> Column:
+    """(term, weight) entries by term, with how often an array of words holds each; n log n, in the row."""
+
+    def runs(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
+        each = lambda p: F.transform(p, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - at).cast("double").alias("weight")))
+        return F.transform(F.array(starts), each)[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]
+
+
+def counted_rows(rows: DataFrame, words: str) -> DataFrame:
+    """(id, indices, values) of (id, words): one sparse vector a row, in order of the terms."""
+    counted = rows.select("id", term_counts(words).alias("e"))
+    return counted.select("id", F.transform("e", lambda x: x["term"]).alias("indices"), F.transform("e", lambda x: x["weight"]).alias("values"))
+
+
 def extract_over(postings: DataFrame, threshold: float) -> DataFrame:
     return postings.where(F.col("weight") > threshold)
 

@@ -173,12 +173,16 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tf(spark: SparkSession, sf: str) -> DataFrame:
-    return _tokens(spark, sf).select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return _tokens(spark, sf).select("id", F.explode(sparse.term_counts("w")).alias("e")).select("id", "e.term", "e.weight")
+
+
+def _logits(spark: SparkSession, sf: str) -> DataFrame:
+    logit = lambda t, i: F.struct(t.alias("term"), (((i * 7 + F.length(t)) % 11 - 3) / 4.0).alias("logit"))
+    return _tokens(spark, sf).select("id", F.transform("w", logit).alias("logits"))
 
 
 def _splade(spark: SparkSession, sf: str) -> DataFrame:
-    logits = _tokens(spark, sf).select("id", F.posexplode("w").alias("pos", "term")).withColumn("logit", ((F.col("pos") * 7 + F.length("term")) % 11 - 3) / 4.0)
-    return sparse.splade_pool(logits)
+    return sparse.splade_pool_rows(_logits(spark, sf))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -192,8 +196,12 @@ def _(spark, sf):
 
 @query("sparse_scalar_pool", f"SELECT id, term, max(logit) AS weight FROM ({_LOGITS}) GROUP BY id, term HAVING max(logit) > 0")
 def _(spark, sf):
-    logits = _tokens(spark, sf).select("id", F.posexplode("w").alias("pos", "term"))
-    return sparse.scalar_max_pool(logits.select("id", "term", (((F.col("pos") * 7 + F.length("term")) % 11 - 3) / 4.0).alias("weight")))
+    return sparse.scalar_max_pool_rows(_logits(spark, sf))
+
+
+@query("sparse_splade_postings", f"SELECT id, term, round(weight, 6) AS weight FROM ({_SPLADE})")
+def _(spark, sf):
+    return _rounded(sparse.splade_pool(_logits(spark, sf).select("id", F.inline("logits"))), "weight")
 
 
 @query("sparse_prune", f"SELECT id, term, round(weight, 6) AS weight FROM ({_PRUNED})")
@@ -242,8 +250,8 @@ _SPARSE_TOP = f"SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY s
 
 
 def _sparse_top(spark: SparkSession, sf: str) -> DataFrame:
-    tf = _tf(spark, sf)
-    return retrieve.sparse_search(tf.where(F.col("id") % EVERY == 0), tf, tf.select("id").distinct(), 20)
+    tf = sparse.counted_rows(_tokens(spark, sf).where(F.size("w") > 0), "w")
+    return retrieve.sparse_search(tf.where(F.col("id") % EVERY == 0), tf, 20)
 
 
 @query("sparse_dot_search", f"WITH tf AS MATERIALIZED ({_TF}) SELECT q, d, score, CAST(rank AS INT) AS rank FROM ({_SPARSE_TOP})")
@@ -409,8 +417,9 @@ _RERANK = f"SELECT query_id, doc_index, score, row_number() OVER (PARTITION BY q
 def _rerank_pairs(spark: SparkSession, sf: str) -> DataFrame:
     items, docs = read(spark, sf, "benchmark").where("text is not null"), read(spark, sf, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII), F.lit(0))
-    btf = items.select(F.col("item_id").alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
-    top = retrieve.top_k(sparse.products(btf, _tf(spark, sf)).withColumnRenamed("dot", "score"), 10).select(F.col("q").alias("query_id"), F.col("d").alias("doc_index"))
+    queries = sparse.counted_rows(items.select(F.col("item_id").alias("id"), words.alias("w")), "w")
+    found = retrieve.sparse_search(queries, sparse.counted_rows(_tokens(spark, sf), "w"), 10).where("score > 0")
+    top = found.select(F.col("q").alias("query_id"), F.col("d").alias("doc_index"))
     return top.join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(docs.select(F.col("doc_id").alias("doc_index"), "text"), "doc_index")
 
 

@@ -103,7 +103,7 @@ def test_sparse_prune_and_order(spark):
 
 def test_search_fills_with_zero_scores(spark):
     docs = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (3, "c", 1.0)], "id int, term string, weight double")
-    got = retrieve.sparse_search(docs.where("id = 3"), docs, docs.select("id").distinct(), 3).orderBy("rank").collect()
+    got = retrieve.sparse_search(sparse.to_struct(docs.where("id = 3")), sparse.to_struct(docs), 3).orderBy("rank").collect()
     assert [(r["d"], r["score"]) for r in got] == [(3, 1.0), (1, 0.0), (2, 0.0)]
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import json
 import math
+import re
 import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,6 +132,74 @@ def load_vocab(lines: list[str], lower: bool = True, strip: bool = True) -> dict
     return out
 
 
+@dataclass
+class TokenizerFile:
+    """What a tokenizer.json says: the kind of model, its pieces, and tokens that were added to it, which texts are split at first."""
+
+    kind: str
+    vocab: dict[str, int]
+    unknown: int
+    ranks: dict[tuple[str, str], int]
+    scores: dict[str, float]
+    added: dict[str, int]
+    special: frozenset[str]
+    lower: bool
+    strip: bool
+    mark: str
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text without special tokens around it: added tokens are looked for first, the longest at each place."""
+        out: list[int] = []
+        for part in self._split(text):
+            if part in self.added:
+                out.append(self.added[part])
+                continue
+            for word in self._words(part):
+                out += self._pieces(word)
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        if not self.added:
+            return [text]
+        found = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=lambda t: (-len(t), t))) + ")")
+        return [p for p in found.split(text) if p]
+
+    def _words(self, text: str) -> list[str]:
+        if self.kind == "Unigram":
+            return ["\u2581" + w for w in text.split()]
+        return regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]", bert_normalize(text, self.lower, self.strip))
+
+    def _pieces(self, word: str) -> list[int]:
+        if self.kind == "WordPiece":
+            return wordpiece(word, self.vocab, self.unknown, self.mark)
+        if self.kind == "BPE":
+            return bpe(list(word), self.ranks, self.vocab, self.unknown)
+        return unigram(word, self.scores, self.vocab, self.unknown)
+
+
+def load_tokenizer(raw: str) -> TokenizerFile:
+    """The model of a tokenizer.json: WordPiece, BPE or Unigram; a file without a type is told by what it has."""
+    held = json.loads(raw)
+    model = held.get("model") or {}
+    pieces = model.get("vocab") or {}
+    kind = model.get("type") or ("Unigram" if isinstance(pieces, list) else "BPE" if model.get("merges") else "WordPiece")
+    if kind not in ("WordPiece", "BPE", "Unigram"):
+        raise ValueError(f"unknown kind of tokenizer: {kind}")
+    scores = {p: float(s) for p, s in pieces} if kind == "Unigram" else {}
+    vocab = {p: i for i, (p, _) in enumerate(pieces)} if kind == "Unigram" else dict(pieces)
+    added = {t["content"]: int(t["id"]) for t in held.get("added_tokens") or []}
+    unknown = model.get("unk_id") if kind == "Unigram" else {**vocab, **added}.get(model.get("unk_token") or "[UNK]")
+    merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model.get("merges") or []]
+    steps = held.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    own = next((s for s in steps if s.get("type") == "BertNormalizer"), None)
+    lower = own.get("lowercase", True) if own else any(s.get("type") == "Lowercase" for s in steps)
+    accents = own.get("strip_accents") if own else any(s.get("type") == "StripAccents" for s in steps)
+    strip = lower if accents is None else bool(accents)
+    special = frozenset(t["content"] for t in held.get("added_tokens") or [] if t.get("special"))
+    return TokenizerFile(kind, vocab, int(unknown or 0), {m: i for i, m in enumerate(merges)}, scores, added, special, lower, strip, model.get("continuing_subword_prefix") or "##")
+
+
 class Charsmap:
     """A precompiled character map: the size of a double-array trie, its units, then replacements that end in a zero byte.
 
@@ -161,8 +233,6 @@ class Charsmap:
 
     def __call__(self, text: str) -> str:
         """Clusters of under six bytes are looked up whole first, then all by character."""
-        import regex
-
         out = []
         for cluster in regex.findall(r"\X", text):
             raw = cluster.encode()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,21 +111,25 @@ def as_float(v: Column | str, dtype: str = "float32") -> Column:
         return (F.col(v) if isinstance(v, str) else v).cast("array<float>")
     if dtype != "float16":
         raise ValueError(f"dtype must be float32 or float16, not {dtype!r}")
-    return _halves()(v)
+    return _row_bytes("<f2")((F.col(v) if isinstance(v, str) else v).cast("array<float>"))
 
 
-def _halves():
-    @F.pandas_udf("binary")
-    def halves(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).tobytes())
+def _row_bytes(kind: str):
+    """Little-endian bytes of each array of a column, by one cast over all its elements."""
 
-    return halves
+    @F.arrow_udf("binary")
+    def cast(v: pa.Array) -> pa.Array:
+        width = np.dtype(kind).itemsize
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+        sizes = np.where(v.is_valid(), np.diff(np.asarray(v.offsets)), 0) * width
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        mask = pa.py_buffer(np.packbits(np.asarray(v.is_valid()), bitorder="little"))
+        large = pa.Array.from_buffers(pa.large_binary(), len(v), [mask, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return large.cast(pa.binary())
+
+    return cast
 
 
 def to_bytes(v: Column | str) -> Column:
     """Little-endian float32 bytes of each vector, for raw sinks."""
-    @F.pandas_udf("binary")
-    def raw(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
-
-    return raw(v)
+    return _row_bytes("<f4")((F.col(v) if isinstance(v, str) else v).cast("array<float>"))

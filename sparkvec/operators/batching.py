@@ -122,3 +122,32 @@ def shards(df: DataFrame, order: list[Column | str], workers: int) -> DataFrame:
     numbered = number_rows(df, order)
     size = df.agg(F.ceil(F.count("*") / workers)).scalar()
     return numbered.withColumn("shard", F.floor(F.col("_n") / F.greatest(size, F.lit(1)))).drop("_n")
+
+
+def round_robin(df: DataFrame, order: list[Column | str], sessions: int) -> DataFrame:
+    """Adds ``session``: rows go to ``sessions`` of them in turn."""
+    if sessions < 1:
+        raise ValueError("sessions must be at least 1")
+    return number_rows(df, order).withColumn("session", (F.col("_n") % sessions).cast("int")).drop("_n")
+
+
+def arrival_batches(df: DataFrame, at: str, key: str, shard: list[str], size: int = 32, wait: float = 5.0) -> DataFrame:
+    """Adds ``batch`` in each shard: requests in order of their time ``at`` share a batch until it has ``size`` of them or the next
+    comes over ``wait`` after its first. A shard streams through a sequential scan that keeps only the open batch."""
+    sorted_ = df.repartition(*shard).sortWithinPartitions(*shard, at, key)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, batch, held, began = None, -1, 0, 0.0
+        for pdf in parts:
+            out = []
+            for now, g in zip(pdf[at].tolist(), map(tuple, pdf[shard].itertuples(index=False)), strict=True):
+                if g != group:
+                    group, batch, held = g, -1, 0
+                if not held or held == size or now - began > wait:
+                    batch, held, began = batch + 1, 0, now
+                held += 1
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    return sorted_.mapInPandas(run, f"{fields}, batch long")

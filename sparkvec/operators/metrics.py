@@ -127,6 +127,11 @@ def percentile_linear(values: str, p: float) -> Column:
     return F.coalesce(F.percentile(values, max(0.0, min(1.0, p))), F.lit(0.0))
 
 
+def percentile_percent(values: str, p: float) -> Column:
+    """The same with p from 0 to 100."""
+    return percentile_linear(values, p / 100)
+
+
 def percentile_nearest(df: DataFrame, values: str, p: float, by: list[str], rule: str = "nearest") -> DataFrame:
     """(by, value) at a rank counted from 0: ceil(p n) - 1 ("nearest"), int(p n) - 1 ("floor") or int(p n) ("index"), held in the list.
 

@@ -9,18 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OBJECTIVES = ("latency", "throughput", "memory", "balanced")
+TASKS = ("embedding", "reranking", "sparse", "image")
 TIE = 0.05
+#: How much slower than the best a median may be before a measurement stops, and the gain that another session must bring.
+PRUNE_FACTOR, SESSION_GAIN = 2.5, 1.05
 #: Fixed values of the objectives, scores and picks.
 MEMORY_OFFSET, MEMORY_LATENCY_SHARE, NO_THROUGHPUT = 16.0, 0.1, 1e30
 QUANT_MIN_GAIN, QUANT_DYNAMIC_PREFERENCE = 1.05, 1.15
 PLATEAU = 0.95
 PROFILES = {"throughput": (0.20, 0.70, 0.10), "latency": (0.70, 0.20, 0.10), "memory": (0.40, 0.10, 0.50), "balanced": (0.50, 0.30, 0.20)}
 FRONTIER_EPS = (0.01, 1.0, 0.5)
+# The words of the synthetic texts, in order, and the texts' lengths in words.
 WORDS = (
-    "the quick brown fox jumps over lazy dog machine learning algorithms process data efficiently natural language processing enables understanding semantic embeddings represent"
-    " meaningful vector representations transformer models utilize attention mechanisms deep neural networks learn patterns from training optimization techniques improve convergence"
-    " accuracy inference latency throughput benchmark performance production deployment scalable reliable systems"
-).split()
+    "the", "quick", "brown", "fox", "jumps", "over", "lazy", "dog", "machine", "learning", "algorithms", "process", "data", "efficiently", "natural", "language",
+    "processing", "enables", "understanding", "semantic", "embeddings", "represent", "meaningful", "vector", "representations", "transformer", "models", "utilize",
+    "attention", "mechanisms", "deep", "neural", "networks", "learn", "patterns", "from", "training", "optimization", "techniques", "improve", "convergence", "accuracy",
+    "inference", "latency", "throughput", "benchmark", "performance", "production", "deployment", "scalable", "reliable", "systems",
+)
 LENGTHS = (16, 16, 16, 16, 64, 64, 64, 64, 128, 128)
 
 
@@ -60,6 +65,31 @@ def search(measurements: DataFrame, objective: str, budget_ms: float = 0.0) -> D
     return met.unionByName(free).orderBy(F.desc("constraints_met")).limit(1)
 
 
+def raced(measurements: DataFrame, objective: str, factor: float = PRUNE_FACTOR) -> DataFrame:
+    """``measurements`` with ``pruned``: in order of idx, those whose median is over ``factor`` times the best valid one before
+    them would have been stopped early. A factor of 0, or memory as the objective, prunes none."""
+    if factor <= 0 or objective == "memory":
+        return measurements.withColumn("pruned", F.lit(False))
+    before = F.min(F.when(F.col("valid"), F.col("p50_ms"))).over(W.orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
+    return measurements.withColumn("pruned", F.coalesce(F.col("p50_ms") > factor * before, F.lit(False)))
+
+
+def check_request(task: str, objective: str | None = None, n_texts: int = 0, max_latency_ms: float = 0.0, min_tokens: int = 0, mode: str = "quick") -> None:
+    """Raise for a tuning request that makes no sense."""
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}, only {TASKS}")
+    if mode not in ("quick", "full"):
+        raise ValueError("mode must be quick or full")
+    if objective is not None and objective not in OBJECTIVES:
+        raise ValueError(f"unknown objective {objective!r}, only {OBJECTIVES}")
+    if n_texts and task == "image":
+        raise ValueError("images take no texts of one's own")
+    if min_tokens and task != "reranking":
+        raise ValueError("min_tokens is for reranking alone")
+    if max_latency_ms < 0 or min_tokens < 0:
+        raise ValueError("max_latency_ms and min_tokens must not be negative")
+
+
 def keep_baseline(measurements: DataFrame, objective: str, baseline: int) -> DataFrame:
     """The selected row, but the baseline's unless that costs strictly more."""
     priced = costs(measurements, objective)
@@ -119,6 +149,39 @@ def prune_grid(spark: SparkSession) -> DataFrame:
     return grid(spark, top_k=[16, 32, 64, 128], min_weight=[0.0, 0.01, 0.05])
 
 
+def benchmark_grid(spark: SparkSession) -> DataFrame:
+    """Threads by batch sizes of a benchmark of an ONNX model."""
+    return grid(spark, threads=[1, 2, 3, 4], batch_size=[32, 64, 128])
+
+
+def benchmark_sessions(runs: DataFrame, gain: float = SESSION_GAIN) -> DataFrame:
+    """(series, sessions, throughput) of (series, sessions, throughput): sessions are tried in order until one after the first is
+    under ``gain`` times the best so far, itself included; the best of those tried, the first of equals."""
+    w = W.partitionBy("series").orderBy("sessions")
+    rows = runs.withColumn("_best", F.max("throughput").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_i", F.row_number().over(w))
+    stopped = F.coalesce(F.max(((F.col("_i") > 1) & (F.col("throughput") < F.col("_best") * gain)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tried = rows.withColumn("_stopped", stopped).where("_stopped = 0")
+    return tried.groupBy("series").agg(F.max_by(F.struct("sessions", "throughput"), F.struct("throughput", (-F.col("sessions")).alias("s"))).alias("b")).select("series", "b.sessions", "b.throughput")
+
+
+def compare_backends(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, backend, idx, throughput, recommended): the fastest run of each backend, and whether it is the fastest of all; the first
+    of equals."""
+    best = F.max_by(F.struct("idx", "throughput"), F.struct("throughput", (-F.col("idx")).alias("i"))).alias("b")
+    rows = results.groupBy(*by, "backend").agg(best).select(*by, "backend", "b.idx", "b.throughput")
+    first = W.partitionBy(*by).orderBy(F.desc("throughput"), "idx") if by else W.orderBy(F.desc("throughput"), "idx")
+    return rows.withColumn("recommended", F.row_number().over(first) == 1)
+
+
+def sweep(spark: SparkSession, models: dict[str, str], corpora: list[str]) -> DataFrame:
+    """(model, path, backend, corpus): what a sweep runs; the extension tells the backend, and an ONNX model is its folder."""
+    rows = spark.createDataFrame(sorted(models.items()) or [], "model string, file string")
+    onnx = F.endswith(F.col("file"), F.lit(".onnx"))
+    folder = F.regexp_replace("file", r"/?[^/]*$", "")
+    each = F.explode(F.array(*[F.lit(c) for c in corpora])) if corpora else F.explode(F.array().cast("array<string>"))
+    return rows.select("model", F.when(onnx, folder).otherwise(F.col("file")).alias("path"), F.when(onnx, "onnx").otherwise("llama").alias("backend"), each.alias("corpus"))
+
+
 def fastest(measurements: DataFrame, value: str = "throughput") -> DataFrame:
     return measurements.orderBy(F.desc(value), "idx").limit(1)
 

@@ -157,6 +157,15 @@ for _kind, _knn_text in (("cosine", _KNN_COS), ("dot", _KNN_DOT)):
         lambda spark, sf, kind=_kind: _knn(spark, sf, kind).select("q", "d", F.round("score", 6).alias("score"), "rank")
     )
 
+_IMAGES = _knn_sql(_cos("a.embedding", "b.embedding")).replace("a.vec_id <> b.vec_id", "b.vec_id % 2 = 1")
+
+
+@query("cross_modal_top10", f"SELECT q, d, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_IMAGES})")
+def _(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _rounded(retrieve.cross_modal(e.where(F.col("id") % EVERY == 0), e.where("id % 2 = 1"), 10), "score").select("q", "d", "score", "rank")
+
+
 # Sparse vectors: terms of whole documents
 
 _PAT = text.BASIC_ASCII.replace("'", "''")
@@ -305,6 +314,13 @@ def _(spark, sf):
     return _rounded(metrics.recall(_knn(spark, sf, "cosine"), _qrels(spark, sf), 10), "recall")
 
 
+@query("recall_at_100", f"WITH r AS MATERIALIZED ({_knn_sql(_cos('a.embedding', 'b.embedding')).replace('rank <= 10', 'rank <= 100')}), g AS MATERIALIZED ({_QRELS}) SELECT g.q, round(count(r.d) / count(*), 6) AS recall FROM g LEFT JOIN r ON r.q = g.q AND r.d = g.d GROUP BY g.q")
+def _(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    ranked = retrieve.search(e.where(F.col("id") % EVERY == 0), e, 100, same_table=True)
+    return _rounded(metrics.recall(ranked, _qrels(spark, sf), 100), "recall")
+
+
 @query("recall_percent", _WITH + "SELECT qs.q, round(100 * coalesce(h.n, 0) / t.n, 6) AS recall FROM qs JOIN (SELECT q, count(*) AS n FROM g WHERE grade >= 2 GROUP BY q) t USING (q) LEFT JOIN (SELECT q, count(*) AS n FROM j WHERE grade >= 2 AND rank <= 5 GROUP BY q) h USING (q)")
 def _(spark, sf):
     return _rounded(metrics.recall(_knn(spark, sf, "cosine"), _qrels(spark, sf), 5, 2).withColumn("recall", F.col("recall") * 100), "recall")
@@ -372,6 +388,11 @@ def _(spark, sf):
     return _rounded(read(spark, sf, "events").groupBy("event_type").agg(metrics.percentile_linear("value", 0.95).alias("p95")), "p95")
 
 
+@query("percentile_percent", f"SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90 {_EVENTS}")
+def _(spark, sf):
+    return _rounded(read(spark, sf, "events").groupBy("event_type").agg(metrics.percentile_percent("value", 90).alias("p90")), "p90")
+
+
 for _rule, _index in (("nearest", "CAST(ceil(0.95 * count(*)) AS BIGINT)"), ("floor", "greatest(1, CAST(floor(0.95 * count(*)) AS BIGINT))"), ("index", "least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)")):
     query(f"percentile_{_rule}", f'SELECT event_type, list_sort(list(value))[{_index}] AS "value" {_EVENTS}')(
         lambda spark, sf, rule=_rule: metrics.percentile_nearest(read(spark, sf, "events"), "value", 0.95, ["event_type"], rule)
@@ -532,10 +553,22 @@ def _(spark, sf):
 _VOCAB = {"[UNK]": 0, "the": 1, "th": 2, "##e": 3, "##n": 4, "er": 5, "##er": 6, "##th": 7, "an": 8, "##d": 9, "in": 10, "##ing": 11, "##on": 12, "on": 13, "en": 14, "##t": 15}
 
 
-@query("wordpiece_encode")
+_PIECES = ", ".join(f"('{p.removeprefix('##')}', {str(p.startswith('##')).lower()}, {i})" for p, i in _VOCAB.items() if i)
+_WORDPIECES = f"""WITH RECURSIVE t AS MATERIALIZED ({_TOKENS}), v(piece, inside, pid) AS (VALUES {_PIECES}), words AS (SELECT DISTINCT unnest(w) AS w FROM t),
+r AS (SELECT w, 0 AS place, '' AS ids FROM words UNION ALL SELECT r.w, r.place + CAST(max(length(piece)) AS INT), r.ids || ' ' || arg_max(pid, length(piece)) FROM r JOIN v ON inside = (r.place > 0) AND substr(r.w, r.place + 1, length(piece)) = piece WHERE r.place < length(r.w) GROUP BY r.w, r.place, r.ids),
+done AS (SELECT words.w, coalesce(max(CASE WHEN place = length(words.w) AND length(words.w) <= {subword.MOST_CHARACTERS} THEN trim(ids) END), '0') AS ids FROM words JOIN r ON r.w = words.w GROUP BY words.w),
+each AS (SELECT id, i, list_extract(w, i) AS w FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM t))
+SELECT t.id, CAST(coalesce(n, 0) AS INT) AS n, md5(coalesce(s, '')) AS digest FROM t LEFT JOIN (SELECT id, sum(len(string_split(ids, ' '))) AS n, string_agg(ids, ' ' ORDER BY i) AS s FROM each JOIN done ON done.w = each.w GROUP BY id) x ON x.id = t.id"""
+
+
+def _ids_digest(ids: str):
+    return F.md5(F.array_join(F.col(ids).cast("array<string>"), " ")).alias("digest")
+
+
+@query("wordpiece_encode", _WORDPIECES)
 def _(spark, sf):
     encode = subword.tokens_udf(lambda w: subword.wordpiece(w, _VOCAB, 0))
-    return _tokens(spark, sf).select("id", encode("w").alias("ids")).select("id", F.size("ids").alias("n"), F.hash("ids").alias("digest"))
+    return _tokens(spark, sf).select("id", encode("w").alias("ids")).select("id", F.size("ids").alias("n"), _ids_digest("ids"))
 
 
 @query("bpe_encode")
@@ -554,20 +587,24 @@ def _(spark, sf):
     return _tokens(spark, sf).select("id", encode("w").alias("ids")).select("id", F.size("ids").alias("n"), F.hash("ids").alias("digest"))
 
 
-@query("bert_normalize")
+@query("bert_normalize", "SELECT doc_id, md5(lower(strip_accents(text))) AS digest FROM documents")
 def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(subword.bert_normalized("text")).alias("digest"))
 
 
-@query("fnv_fingerprint")
+_BYTES = "list_transform(range(0, len(c) // 2), lambda i: (instr('0123456789ABCDEF', c[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', c[2 * i + 2]) - 1)"
+_LENGTH = "list_transform(range(0, 8), lambda i: (n >> CAST(8 * i AS INT)) & 255)"
+
+
+@query("fnv_fingerprint", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN lpad(lower(to_hex(CAST(list_reduce(list_concat([{subword.FNV_OFFSET}::HUGEINT], CAST({_LENGTH} AS HUGEINT[]), CAST(CASE WHEN n = 0 THEN [] ELSE {_BYTES} END AS HUGEINT[])), lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * {subword.FNV_PRIME}) % 18446744073709551616) AS UBIGINT))), 16, '0') END AS fingerprint FROM (SELECT doc_id, text, CAST(octet_length(encode(text)) AS BIGINT) AS n, string_split(hex(encode(text)), '') AS c FROM documents)")
 def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", subword.fingerprint("text").alias("fingerprint"))
 
 
-@query("hashing_embed")
+@query("hashing_embed", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def _(spark, sf):
     rows = embed(read(spark, sf, "documents").select("doc_id", "text"), HashingProvider(64))
-    return rows.select("doc_id", F.round(vector.norm("embedding"), 3).alias("norm"))
+    return rows.select("doc_id", F.when(F.col("embedding").isNotNull(), F.round(vector.norm("embedding"), 3)).alias("norm"))
 
 
 # Batches
@@ -622,6 +659,21 @@ def _(spark, sf):
     return batching.budget_batches(_sized(spark, sf), "n", "id", 16).select("id", "batch")
 
 
+_TIMED = "SELECT event_id AS id, user_id AS shard, floor(epoch(ts)) AS came, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS p FROM events"
+_WAIT = 200_000.0
+
+
+@query("arrival_batches", f"WITH RECURSIVE s AS MATERIALIZED ({_TIMED}), w AS (SELECT shard, p, id, came AS began, 1 AS held, 0 AS batch FROM s WHERE p = 1 UNION ALL SELECT s.shard, s.p, s.id, CASE WHEN w.held = 8 OR s.came - w.began > {_WAIT} THEN s.came ELSE w.began END, CASE WHEN w.held = 8 OR s.came - w.began > {_WAIT} THEN 1 ELSE w.held + 1 END, CASE WHEN w.held = 8 OR s.came - w.began > {_WAIT} THEN w.batch + 1 ELSE w.batch END FROM w JOIN s ON s.shard = w.shard AND s.p = w.p + 1) SELECT id, CAST(batch AS BIGINT) AS batch FROM w")
+def _(spark, sf):
+    rows = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("shard"), F.unix_timestamp("ts").cast("double").alias("at"))
+    return batching.arrival_batches(rows, "at", "id", ["shard"], 8, _WAIT).select("id", "batch")
+
+
+@query("session_round_robin", f"SELECT id, digest, CAST((row_number() OVER (ORDER BY id) - 1) % 3 AS INT) AS session FROM ({_N})")
+def _(spark, sf):
+    return batching.round_robin(_sized(spark, sf), ["id"], 3).select("id", _digest(), "session")
+
+
 @query("pool_shards", f"SELECT id, digest, (row_number() OVER (ORDER BY id) - 1) // CAST(ceil(count(*) OVER () / 4) AS BIGINT) AS shard FROM ({_N})")
 def _(spark, sf):
     return batching.shards(_sized(spark, sf), ["id"], 4).select("id", _digest(), "shard")
@@ -719,12 +771,46 @@ def _(spark, sf):
     return tuning.pick_quantization(read(spark, sf, "supplier").select(F.col("s_nationkey").alias("model"), kind.alias("quantization"), (50.0 + (key * 37) % 101).alias("docs_per_sec")))
 
 
-@query("session_plateau")
+_PLATEAU = """WITH RECURSIVE s AS MATERIALIZED (SELECT s_nationkey AS series, s_suppkey AS sessions, 50.0 + (s_suppkey * 37) % 101 AS t, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS p FROM supplier),
+w AS (SELECT series, p, CAST(t AS DOUBLE) AS best, sessions AS place, 0 AS low, 1 AS n FROM s WHERE p = 1 UNION ALL
+SELECT s.series, s.p, CASE WHEN low < 2 AND t > best THEN t ELSE best END, CASE WHEN low < 2 AND t > best THEN s.sessions ELSE place END, CASE WHEN low = 2 THEN 2 WHEN t > best THEN 0 WHEN t < 0.95 * best THEN low + 1 ELSE low END, CASE WHEN low < 2 THEN n + 1 ELSE n END FROM w JOIN s ON s.series = w.series AND s.p = w.p + 1)
+SELECT series, CAST(place AS INT) AS sessions, best, CAST(n AS INT) AS measured FROM w QUALIFY row_number() OVER (PARTITION BY series ORDER BY p DESC) = 1"""
+
+
+@query("session_plateau", _PLATEAU)
 def _(spark, sf):
     rows = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("series"), F.col("s_suppkey").alias("sessions"), (50.0 + (F.col("s_suppkey") * 37) % 101).alias("throughput"))
     return tuning.plateau(rows)
 
 
+@query("tune_raced", f"SELECT idx, coalesce(p50_ms > 2.5 * min(CASE WHEN valid THEN p50_ms END) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS pruned FROM ({_M})")
+def _(spark, sf):
+    return tuning.raced(_measured(spark, sf), "balanced").select("idx", "pruned")
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    rate = (50.0 + (F.col("s_suppkey") * 37) % 101).alias("throughput")
+    return read(spark, sf, "supplier").select(F.col("s_nationkey").alias("series"), F.col("s_suppkey").alias("idx"), F.when(F.col("s_suppkey") % 3 == 0, "llama").otherwise("onnx").alias("backend"), rate)
+
+
+_RUNS = "SELECT s_nationkey AS series, s_suppkey AS idx, CASE WHEN s_suppkey % 3 = 0 THEN 'llama' ELSE 'onnx' END AS backend, 50.0 + (s_suppkey * 37) % 101 AS throughput FROM supplier"
+
+
+@query("backend_compare", f"SELECT series, backend, idx, CAST(throughput AS DOUBLE) AS throughput, row_number() OVER (PARTITION BY series ORDER BY throughput DESC, idx) = 1 AS recommended FROM (SELECT * FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY series, backend ORDER BY throughput DESC, idx) = 1)")
+def _(spark, sf):
+    return tuning.compare_backends(_runs(spark, sf), ["series"])
+
+
+@query("benchmark_sessions", f"SELECT series, arg_max(idx, throughput) AS sessions, CAST(max(throughput) AS DOUBLE) AS throughput FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) AS p FROM ({_RUNS})) WHERE p <= 2 GROUP BY series HAVING count(DISTINCT throughput) = count(*)")
+def _(spark, sf):
+    return tuning.benchmark_sessions(_runs(spark, sf).withColumnRenamed("idx", "sessions"))
+
+
+@query("benchmark_grid", "SELECT CAST(3 * t + b AS INT) AS idx, CAST(t + 1 AS INT) AS threads, CAST(32 << CAST(b AS INT) AS INT) AS batch_size FROM range(4) x(t), range(3) y(b)")
+def _(spark, sf):
+    return tuning.benchmark_grid(spark)
+
+
 @query("worker_heuristic", "SELECT c_custkey, CAST(least(2 * c_nationkey, 8) AS INT) AS workers FROM customer")
 def _(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", tuning.workers(F.col("c_nationkey")).alias("workers"))
@@ -797,7 +883,7 @@ def _(spark, sf):
     return registry.resolve_fuzzy(spark, _wanted(spark)).select("wanted", "ordinal")
 
 
-@query("registry_gguf", "SELECT * FROM (VALUES ('snowflake', 0), ('MINILM', 1), ('SPLADE-PP-En-v1-GGUF', 11)) AS t(wanted, ordinal)")
+@query("registry_gguf", f"SELECT wanted, CAST(min(ordinal) AS INT) AS ordinal FROM (VALUES ('snowflake'), ('MINILM'), ('SPLADE-PP-En-v1-GGUF'), ('splade-pp')) AS t(wanted) JOIN (SELECT row_number() OVER () - 1 AS ordinal, * FROM {_values([tuple(x.split('|')[:2]) for x in registry.GGUF_MODELS.strip().splitlines()], 'kind, name')}) g ON CASE WHEN kind = 'sparse' THEN name = wanted ELSE contains(lower(name), lower(wanted)) END GROUP BY wanted")
 def _(spark, sf):
     wanted = spark.createDataFrame([("snowflake",), ("MINILM",), ("SPLADE-PP-En-v1-GGUF",), ("splade-pp",)], "wanted string")
     return registry.resolve_gguf(spark, wanted).select("wanted", "ordinal")
@@ -824,10 +910,15 @@ def _(spark, sf):
     return files.select("file", resolve.backend_expression("file").alias("backend"))
 
 
-@query("capability_bits", "SELECT * FROM (VALUES (1, 215), (2, 0), (3, 9), (4, 33)) AS t(f, mask)")
+_FILES = [(1, ["token_embd.weight", "mlm_transform.weight", "mlm_bias", "colbert_linear.weight"], True), (2, ["mlm_transform.weight"], True), (3, ["token_embd.weight", "sparse_linear.weight"], False), (4, ["token_embd.weight", "classifier.dense.weight"], False), (5, ["token_embd.weight", "mlm_transform.weight", "mlm_head.weight"], True)]
+_HAS = "CAST(list_contains(tensors, '{0}') AS INT)"
+
+
+@query("capability_bits", "SELECT f, CAST({0} * (1 + 2 * {1} + 4 * {1} * {2} + 8 * {3} + 16 * {4} + 32 * {5} + 64 * {1} * (1 - {6}) + 128 * CAST(special AS INT)) AS INT) AS mask FROM (VALUES {7}) AS t(f, tensors, special)".format(
+    *[_HAS.format(n) for n in ("token_embd.weight", "mlm_transform.weight", "mlm_bias", "sparse_linear.weight", "colbert_linear.weight", "classifier.dense.weight", "mlm_head.weight")], ", ".join(f"({f}, {t}, {str(x).lower()})" for f, t, x in _FILES)
+))
 def _(spark, sf):
-    rows = [(1, ["token_embd.weight", "mlm_transform.weight", "mlm_bias", "colbert_linear.weight"], True), (2, ["mlm_transform.weight"], True), (3, ["token_embd.weight", "sparse_linear.weight"], False), (4, ["token_embd.weight", "classifier.dense.weight"], False)]
-    df = spark.createDataFrame(rows, "f int, tensors array<string>, special boolean")
+    df = spark.createDataFrame(_FILES, "f int, tensors array<string>, special boolean")
     return df.select("f", registry.capability_mask(F.col("tensors"), F.col("special")).cast("int").alias("mask"))
 
 
@@ -839,7 +930,14 @@ def _(spark, sf):
 # Caches
 
 
-@query("cache_replay")
+_REPLAY = """WITH RECURSIVE s AS MATERIALIZED (SELECT CAST(user_id // 10 AS VARCHAR) AS cache, event_type AS key, event_id % 3 = 0 AS put, row_number() OVER (PARTITION BY user_id // 10 ORDER BY event_id) AS p FROM events),
+w AS (SELECT cache, p, CASE WHEN put THEN [key] ELSE [] END AS keys, 0 AS hits, CASE WHEN put THEN 0 ELSE 1 END AS misses FROM s WHERE p = 1 UNION ALL
+SELECT s.cache, s.p, CASE WHEN put AND len(moved) > 2 THEN moved[2:] WHEN put OR list_contains(keys, key) THEN moved ELSE keys END, hits + CASE WHEN NOT put AND list_contains(keys, key) THEN 1 ELSE 0 END, misses + CASE WHEN NOT put AND NOT list_contains(keys, key) THEN 1 ELSE 0 END
+FROM (SELECT s.*, w.keys, w.hits, w.misses, list_append(list_filter(w.keys, lambda x: x <> s.key), s.key) AS moved FROM w JOIN s ON s.cache = w.cache AND s.p = w.p + 1) s)
+SELECT cache, CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(len(keys) AS INT) AS size FROM w QUALIFY row_number() OVER (PARTITION BY cache ORDER BY p DESC) = 1"""
+
+
+@query("cache_replay", _REPLAY)
 def _(spark, sf):
     e = read(spark, sf, "events")
     op = F.when(F.col("event_id") % 3 == 0, "put").otherwise("get")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkvec.operators.batching import TOKEN_BUDGET, cut_by_budget
+from sparkvec.plans.registry import CLS_NAMES
 from sparkvec.plans.resolve import pick_output
 
 
@@ -46,51 +50,102 @@ class HashingProvider:
         return np.divide(out, size, out=np.zeros_like(out), where=size > 1e-12).astype(np.float32)
 
 
-_SESSIONS: dict[str, object] = {}
+#: Loaded models of this process by their names.
+SESSIONS: dict[str, object] = {}
 
 
 class OnnxProvider:
-    """A model file of the user's, with a tokenizer file; one session a worker process, one thread a task.
+    """A model of the user's, with a tokenizer: files that all workers can open, or the bytes themselves, which go to the
+    workers with the provider. One session a worker process, one thread a task.
 
     Pooling is cls or mean over the mask; a model whose output is one vector a text is taken as it is."""
 
-    def __init__(self, model: str, tokenizer: str, dim: int, max_length: int = 512, pooling: str = "mean", threads: int = 1):
+    def __init__(self, model: str | bytes, tokenizer: str | bytes, dim: int, max_length: int = 512, pooling: str = "mean", threads: int = 1):
         if pooling not in ("cls", "mean"):
             raise ValueError("pooling must be cls or mean")
+        if dim < 1:
+            raise ValueError("cannot tell the model's dimension")
         self.model, self.tokenizer, self.dim, self.max_length, self.pooling, self.threads = model, tokenizer, dim, max_length, pooling, threads
 
     def _loaded(self):
-        key = f"{self.model}|{self.tokenizer}|{self.max_length}"
-        if key not in _SESSIONS:
+        name = [x if isinstance(x, str) else xxhash.xxh64_hexdigest(x) for x in (self.model, self.tokenizer)]
+        key = f"{name}|{self.max_length}|{self.threads}"
+        if key not in SESSIONS:
             import onnxruntime as ort
             from tokenizers import Tokenizer
 
             options = ort.SessionOptions()
             options.intra_op_num_threads, options.inter_op_num_threads = self.threads, 1
-            tokenizer = Tokenizer.from_file(self.tokenizer)
+            tokenizer = Tokenizer.from_file(self.tokenizer) if isinstance(self.tokenizer, str) else Tokenizer.from_str(self.tokenizer.decode())
             tokenizer.enable_truncation(self.max_length)
-            _SESSIONS[key] = ort.InferenceSession(self.model, options, providers=["CPUExecutionProvider"]), tokenizer
-        return _SESSIONS[key]
+            SESSIONS[key] = ort.InferenceSession(self.model, options, providers=["CPUExecutionProvider"]), tokenizer
+        return SESSIONS[key]
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self._loaded()[1].encode_batch(texts)]
 
-    def embed(self, texts: list[str]) -> np.ndarray:
+    def _run(self, inputs: list) -> tuple[np.ndarray, np.ndarray]:
+        """(the chosen output, mask) for texts or pairs of them."""
         session, tokenizer = self._loaded()
-        encoded = tokenizer.encode_batch(texts)
+        encoded = tokenizer.encode_batch(inputs)
         width = max(len(e.ids) for e in encoded)
-        ids, mask = np.zeros((len(texts), width), np.int64), np.zeros((len(texts), width), np.int64)
+        given = {k: np.zeros((len(inputs), width), np.int64) for k in ("input_ids", "attention_mask", "token_type_ids")}
         for i, e in enumerate(encoded):
-            ids[i, : len(e.ids)], mask[i, : len(e.ids)] = e.ids, 1
-        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            n = len(e.ids)
+            given["input_ids"][i, :n], given["attention_mask"][i, :n], given["token_type_ids"][i, :n] = e.ids, 1, e.type_ids
         names = [o.name for o in session.get_outputs()]
-        out = session.run([names[pick_output(names)]], {i.name: given[i.name] for i in session.get_inputs()})[0]
+        return session.run([names[pick_output(names)]], {i.name: given[i.name] for i in session.get_inputs()})[0], given["attention_mask"]
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out, mask = self._run(texts)
         if out.ndim == 3:
             total = (out * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)
             out = out[:, 0] if self.pooling == "cls" else total
         size = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
         return np.divide(out, size, out=np.zeros_like(out, dtype=np.float64), where=size > 1e-12).astype(np.float32)
 
+    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        """One number a (query, text) pair: the first of the model's logits, as a reranker gives them."""
+        return self._run(pairs)[0].reshape(len(pairs), -1)[:, 0].astype(np.float64)
+
+
+def model_folder(path: str, dim: int = 0, max_length: int = 512, pooling: str | None = None, threads: int = 1) -> OnnxProvider:
+    """The model of a local folder: model.onnx, tokenizer.json and, where it is there, config.json with its dimension and
+    length. The folder's name tells the pooling unless it is given; without config.json that is the mean."""
+    folder = Path(path)
+    missing = [f for f in ("model.onnx", "tokenizer.json") if not (folder / f).is_file()]
+    if missing:
+        raise FileNotFoundError(f"{path} has no {' and no '.join(missing)}")
+    config = json.loads((folder / "config.json").read_text()) if (folder / "config.json").is_file() else None
+    if config is not None:
+        dim = int(config.get("hidden_size") or config.get("dim") or 0) or dim
+        max_length = int(config.get("max_position_embeddings") or 0) or max_length
+        pooling = pooling or ("cls" if any(n in folder.name.lower() for n in CLS_NAMES) else "mean")
+    return OnnxProvider(str(folder / "model.onnx"), str(folder / "tokenizer.json"), dim, max_length, pooling or "mean", threads)
+
+
+def rerank_pairs(pairs: DataFrame, provider, query: str = "query", text: str = "text", batch_size: int = 32, budget: int = TOKEN_BUDGET, joined: bool = False) -> DataFrame:
+    """``pairs`` with ``score``, by a provider's ``score`` of (query, text), pairs alike in length together; with ``joined``
+    it gets the one text that decoder-style rerankers read, and an empty second one. Null texts have no score."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            both = list(zip(pdf[query], pdf[text], strict=True))
+            known = [i for i, (q, t) in enumerate(both) if isinstance(q, str) and isinstance(t, str)]
+            given = [(f"{both[i][0]} [SEP] {both[i][1]}", "") if joined else both[i] for i in known]
+            lengths = [len(q.split()) + len(t.split()) for q, t in given]
+            order = sorted(range(len(given)), key=lambda k: (-lengths[k], k))
+            batches = cut_by_budget([lengths[k] for k in order], batch_size, budget)
+            out: list = [None] * len(both)
+            for _, group in groupby(zip(batches, order, strict=True), key=lambda x: x[0]):
+                some = [k for _, k in group]
+                for k, score in zip(some, provider.score([given[k] for k in some]), strict=True):
+                    out[known[k]] = float(score)
+            yield pdf.assign(score=out)
+
+    return pairs.mapInPandas(run, f"{fields}, score double")
+
 
 def embed(df: DataFrame, provider: Provider, text: str = "text", batch_size: int = 32, budget: int = TOKEN_BUDGET) -> DataFrame:
     """``df`` with ``embedding``: inside each Arrow batch texts go to the model longest first, in batches within a token budget, and
@@ -124,7 +179,13 @@ def observed(df: DataFrame, observation: Observation) -> DataFrame:
 
 
 def embed_missing(df: DataFrame, cache: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
-    """``df`` with ``embedding``, from ``cache`` (text, embedding) where it has the text; each other text is computed once."""
-    hits = df.join(cache.select(text, "embedding"), text, "left").where("embedding is not null")
-    fresh = embed(df.join(cache.select(text), text, "left_anti").select(text).distinct(), provider, text)
-    return hits.unionByName(df.join(cache.select(text), text, "left_anti").join(fresh, text))
+    """``df`` with ``embedding``, from ``cache`` (text, embedding) where it has the text; each other text is computed once. Texts meet
+    by a 128-bit hash, and one row of the cache for each counts."""
+    keys = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
+    names = ["_h1", "_h2"]
+    held = cache.select(*keys, "embedding").dropDuplicates(names)
+    met = df.select("*", *keys).join(held, names, "left")
+    hits = met.where("embedding is not null").drop(*names)
+    missing = met.where("embedding is null").drop("embedding")
+    fresh = embed(missing.where(F.col(text).isNotNull()).select(*names, text).dropDuplicates(names), provider, text).select(*names, "embedding")
+    return hits.unionByName(missing.join(fresh, names, "left").drop(*names))

@@ -205,6 +205,18 @@ def restricted(spark: SparkSession) -> DataFrame:
     return _frame(spark, RESTRICTED, "code string, licence string").drop("ordinal")
 
 
+def modes(spark: SparkSession) -> DataFrame:
+    return _frame(spark, MODES, "mode string, name string").drop("ordinal")
+
+
+def mode_model(mode: str) -> str:
+    """The model's name of a mode, whatever its case."""
+    known = dict(line.split("|") for line in MODES.strip().splitlines())
+    if mode.lower() not in known:
+        raise ValueError(f"unknown mode {mode!r}, only {sorted(known)}")
+    return known[mode.lower()]
+
+
 def with_sizes(spark: SparkSession) -> DataFrame:
     return models(spark).join(sizes(spark), ["code", "file"], "left")
 

@@ -79,6 +79,21 @@ def local_model(name: str, folder: str) -> str:
     return str(path)
 
 
+def with_fallback(backend: str, onnx: Callable[[], object], llama: Callable[[], object]) -> object:
+    """What the backend's loader gives. Only "auto" goes on to the other one, and only if the first model is missing: any other
+    error is the caller's to see."""
+    if backend not in ("onnx", "llama", "auto"):
+        raise ValueError(f"unknown backend {backend!r}")
+    if backend == "llama":
+        return llama()
+    try:
+        return onnx()
+    except FileNotFoundError:
+        if backend == "onnx":
+            raise
+        return llama()
+
+
 def check_provider(wanted: str, available: list[str]) -> str:
     """A provider that is not available is an error, never a silent fallback."""
     if wanted not in available:

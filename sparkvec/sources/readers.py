@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from io import BytesIO
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.functions.vector import to_bytes
 from sparkvec.plans import registry
 
 #: Per-channel mean and deviation of image inputs, and their side.
@@ -20,10 +25,17 @@ IMAGE_MEAN, IMAGE_STD, IMAGE_SIDE = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 GGUF_TYPES = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
 
 
+#: Bytes of a model file that hold most headers.
+HEAD_BYTES = 32 << 20
+EARLY = "header ends early"
+#: Rows of a report that is made on the driver, at most.
+REPORT_ROWS = 10_000
+
+
 def read_texts(spark: SparkSession, path: str, form: str = "parquet", text: str = "text", key: str | None = None) -> DataFrame:
-    """(id, text) of a table; without a key rows get an id that says nothing of order."""
+    """(id, text) of a table; without a key the id is a 64-bit hash of the text, the same in every scan, so equal texts share it."""
     df = spark.read.text(path).withColumnRenamed("value", text) if form == "text" else spark.read.format(form).load(path)
-    return df.select((F.col(key) if key else F.monotonically_increasing_id()).alias("id"), F.col(text).alias("text"))
+    return df.select((F.col(key) if key else F.xxhash64(text)).alias("id"), F.col(text).alias("text"))
 
 
 def natural_key(c) -> list:
@@ -67,6 +79,35 @@ def read_csr(spark: SparkSession, offsets: np.ndarray, indices: np.ndarray, valu
     return spark.createDataFrame(rows, "id long, indices array<int>, values array<float>")
 
 
+def save_npz(vectors: DataFrame, path: str, most: int = 1_000_000) -> int:
+    """Write up to ``most`` vectors (id, indices, values) in order of id as one npz file of the driver: offsets, indices and values
+    as arrays. Returns how many there are; more are an error, for which :func:`write_sparse` is the way."""
+    rows = vectors.orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} vectors: use write_sparse()")
+    offsets = np.concatenate([[0], np.cumsum([len(r["indices"]) for r in rows])]).astype(np.int64)
+    flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(r[name], kind) for r in rows)])
+    np.savez(path, offsets=offsets, indices=flat("indices", np.int32), values=flat("values", np.float32))
+    return len(rows)
+
+
+def load_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(id, indices, values) of npz files of :func:`save_npz`, read where they are and parsed by the executors; ``path`` in front of
+    the id tells several files apart."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                with np.load(BytesIO(bytes(raw)), allow_pickle=False) as held:
+                    offsets, indices, values = (held[k] for k in ("offsets", "indices", "values"))
+                for at in range(0, len(offsets) - 1, 4096):
+                    ids = range(at, min(at + 4096, len(offsets) - 1))
+                    cut = lambda x, ids=ids, offsets=offsets: [x[offsets[i] : offsets[i + 1]] for i in ids]
+                    yield pd.DataFrame({"path": name, "id": list(ids), "indices": cut(indices), "values": cut(values)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, id long, indices array<int>, values array<float>")
+
+
 def parse_gguf(raw: bytes) -> dict:
     """Metadata and tensors of a model file's header; ``diagnostic`` says why it is not usable."""
     out: dict = {"meta": {}, "tensors": {}, "diagnostic": ""}
@@ -76,7 +117,7 @@ def parse_gguf(raw: bytes) -> dict:
         nonlocal at
         size = struct.calcsize("<" + form)
         if at + size > len(raw):
-            raise ValueError("header ends early")
+            raise ValueError(EARLY)
         value = struct.unpack_from("<" + form, raw, at)[0]
         at += size
         return value
@@ -85,7 +126,7 @@ def parse_gguf(raw: bytes) -> dict:
         nonlocal at
         n = take("Q")
         if at + n > len(raw):
-            raise ValueError("header ends early")
+            raise ValueError(EARLY)
         at += n
         return raw[at - n : at].decode("utf-8", "replace")
 
@@ -97,7 +138,7 @@ def parse_gguf(raw: bytes) -> dict:
                 raise ValueError("nested array")
             of, n = take("I"), take("Q")
             if n > len(raw):
-                raise ValueError("array longer than the file")
+                raise ValueError(EARLY)
             return [value(of, 1) for _ in range(n)]
         if kind not in GGUF_TYPES:
             raise ValueError(f"unknown type {kind}")
@@ -126,13 +167,16 @@ def parse_gguf(raw: bytes) -> dict:
 _GGUF = "path string, architecture string, name string, vocab_size int, embedding_length int, block_count int, context_length int, n_tensors long, tensors array<string>, sparse_out long, has_special boolean, diagnostic string"
 
 
-def inspect_gguf(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each model file: its hyperparameters (null where the file does not say), capability bits and sparse formula."""
+def inspect_gguf(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """One row for each model file: its hyperparameters (null where the file does not say), capability bits and sparse formula.
+
+    Only the first ``HEAD_BYTES`` of a file go to Python; files whose header is longer are read again whole, which Spark can
+    up to 2 GB."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
+            for p, raw in zip(pdf["path"], pdf["head"], strict=True):
                 d = parse_gguf(bytes(raw))
                 m, arch = d["meta"], d["meta"].get("general.architecture")
                 own = lambda k, m=m, arch=arch: m.get(f"{arch}.{k}")
@@ -146,7 +190,12 @@ def inspect_gguf(spark: SparkSession, path: str) -> DataFrame:
             out["sparse_out"] = out["sparse_out"].astype("Int64")
             yield out
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _GGUF)
+    found = spark.read.format("binaryFile").load(path)
+    heads = found.select("path", F.substring("content", 1, head_bytes).alias("head")).mapInPandas(run, _GGUF)
+    early = F.col("diagnostic") == EARLY
+    again = found.join(heads.where(early).select("path"), "path", "left_semi").where(F.col("length") > head_bytes)
+    long = again.select("path", F.col("content").alias("head")).mapInPandas(run, _GGUF)
+    files = heads.join(long.select("path"), "path", "left_anti").unionByName(long)
     mask = registry.capability_mask(F.col("tensors"), F.col("has_special"))
     rows = files.withColumn("mask", mask)
     unsound = (F.col("mask").bitwiseAND(10) != 0) & F.col("vocab_size").isNull()
@@ -185,25 +234,77 @@ def stale_files(files: DataFrame, keep: DataFrame) -> DataFrame:
     return files.join(keep.select("model"), "model", "left_anti").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def clean_cache(folder: str, keep: list[str], repositories: dict[str, str], dry_run: bool = True) -> tuple[int, int]:
+    """(n, bytes) of a local cache folder's model folders that are not kept, deleted unless it is a dry run. A kept name holds its own
+    folder and those of the ``repositories`` (by model name) that it or its name in the registry stands for, whatever the case."""
+    root = Path(folder)
+    if not root.is_dir():
+        return 0, 0
+    wanted = {k.lower() for k in keep}
+    names = wanted | {repo.lower() for name, repo in repositories.items() if name.lower() in wanted or repo.lower() in wanted}
+    held = {f"models--{n.replace('/', '--')}" for n in names}
+    gone = [p for p in sorted(root.iterdir()) if p.is_dir() and p.name.startswith("models--") and p.name.lower() not in held]
+    size = sum(f.stat().st_size for p in gone for f in p.rglob("*") if f.is_file() and not f.is_symlink())
+    if not dry_run:
+        for p in gone:
+            shutil.rmtree(p)
+    return len(gone), size
+
+
 def write_tuning(table: DataFrame, path: str) -> None:
-    """Tuning results by key; a later run's rows replace earlier ones of equal key."""
-    table.write.mode("append").partitionBy("key").parquet(path)
+    """Tuning results by key, in a folder of their own for each call, which the commit of the write makes whole or not at all; of equal
+    keys the latest row counts (:func:`read_tuning`)."""
+    at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/run={uuid.uuid4().hex}")
+    part = f"{path}/_{at.getName()}"
+    table.write.mode("errorifexists").parquet(part)
+    source = table.sparkSession._jvm.org.apache.hadoop.fs.Path(part)
+    if not source.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).rename(source, at):
+        raise OSError(f"cannot move {part} to {at}")
 
 
 def read_tuning(spark: SparkSession, path: str, identity: dict[str, str]) -> DataFrame:
     """The latest row of each key whose identity columns still hold."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("run")
     for column, value in identity.items():
         rows = rows.where(F.col(column) == value)
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("at")))).where("_r = 1").drop("_r")
 
 
-def report_json(rows: DataFrame, meta: dict) -> str:
-    """A report of a summary table, which is small by its nature."""
-    return json.dumps({"meta": meta, "rows": [r.asDict(recursive=True) for r in rows.limit(10_000).collect()]}, default=str, sort_keys=True)
+def _all_rows(rows: DataFrame, most: int) -> list:
+    """All rows of a summary table; an error if there are more than ``most``."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of over {most} rows: use write_report()")
+    return found
 
 
-def report_markdown(rows: DataFrame) -> str:
+def report_json(rows: DataFrame, meta: dict, most: int = REPORT_ROWS) -> str:
+    """A report of a summary table of up to ``most`` rows."""
+    return json.dumps({"meta": meta, "rows": [r.asDict(recursive=True) for r in _all_rows(rows, most)]}, default=str, sort_keys=True)
+
+
+def report_markdown(rows: DataFrame, most: int = REPORT_ROWS) -> str:
     names = rows.columns
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(lines + ["| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows.limit(10_000).collect()])
+    return "\n".join(lines + ["| " + " | ".join(str(r[n]) for n in names) + " |" for r in _all_rows(rows, most)])
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report of any number of rows, as files of JSON lines."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def write_raw(vectors: DataFrame, path: str, column: str = "v") -> None:
+    """Vectors as raw little-endian float32 bytes beside their ids."""
+    vectors.select("id", to_bytes(column).alias("raw")).write.mode("errorifexists").parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v) of :func:`write_raw`."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"id": pdf["id"], "v": [None if r is None else np.frombuffer(r, "<f4") for r in pdf["raw"]]})
+
+    rows = spark.read.parquet(path)
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<float>")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkvec.functions import vector
 from sparkvec.plans.providers import Provider, embed
 
 
@@ -17,16 +18,24 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def embed_stream(texts: DataFrame, provider: Provider, callback: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+def shortened(rows: DataFrame, dim: int | None) -> DataFrame:
+    """``rows`` with embeddings of their first ``dim`` numbers, brought to unit length again; those that are no longer stay."""
+    if dim is None:
+        return rows
+    cut = F.slice("embedding", 1, dim)
+    return rows.withColumn("embedding", F.when(F.size("embedding") > dim, vector.l2_normalize(cut)).otherwise(F.col("embedding")))
+
+
+def embed_stream(texts: DataFrame, provider: Provider, callback: Callable[[DataFrame, int], None], checkpoint: str, dim: int | None = None, **trigger) -> StreamingQuery:
     """Embed a streaming (id, text) table and hand each micro-batch to ``callback`` with its number; a batch that is run again has
-    the same number, so a sink that is keyed by it writes once."""
-    query = embed(texts, provider).writeStream.option("checkpointLocation", checkpoint).foreachBatch(callback)
+    the same number, so a sink that is keyed by it writes once. ``dim``: numbers of a vector to keep."""
+    query = shortened(embed(texts, provider), dim).writeStream.option("checkpointLocation", checkpoint).foreachBatch(callback)
     return (query.trigger(**trigger) if trigger else query).start()
 
 
-def embed_rows(df: DataFrame, provider: Provider, key: str = "id") -> Iterator[Row]:
+def embed_rows(df: DataFrame, provider: Provider, key: str = "id", dim: int | None = None) -> Iterator[Row]:
     """Rows with vectors in order of the key, a partition at a time on the driver."""
-    return embed(df, provider).orderBy(key).toLocalIterator(prefetchPartitions=True)
+    return shortened(embed(df, provider), dim).orderBy(key).toLocalIterator(prefetchPartitions=True)
 
 
 _OUT = "key string, hit boolean, at double"

@@ -32,8 +32,9 @@ BEGIN = "### "
 END = "</turn>\n"
 END_MARK = "</turn>"
 LOSS_ROLE = "assistant"
-#: Turns formatted into one piece, at most.
+#: Turns formatted into one piece, at most, and about how many bytes of them, unless one turn has more.
 PIECE_TURNS = 4096
+PIECE_BYTES = 1 << 28
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 _END = re.compile(r"(?<!\\)(?:\\\\)*</turn>\n")
 _ROLE_END = re.compile(r"(?<!\\)(?:\\\\)*: ")
@@ -84,21 +85,31 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
 _SHAPE = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.list_(pa.int64())))])
 
 
+def _runs(sizes: np.ndarray, most_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of the turns of each piece: as many as fit, and one at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")) - at
+        turns = min(PIECE_TURNS, max(1, fit))
+        yield at, min(turns, len(sizes) - at)
+        at += turns
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     piece = 0
     for batch in batches:
         conv, roles, texts = batch.column("conv_id"), batch.column("role"), batch.column("text")
-        for at in range(0, len(conv), PIECE_TURNS):
-            c, r, t = conv.slice(at, PIECE_TURNS), roles.slice(at, PIECE_TURNS), texts.slice(at, PIECE_TURNS)
+        sizes = pc.add(pc.fill_null(pc.binary_length(roles), 0), pc.fill_null(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, turns in _runs(sizes):
+            c, r, t = conv.slice(at, turns), roles.slice(at, turns), texts.slice(at, turns)
             buffer, offsets, chars, header = assemble(r, t)
             ids, valid = pc.fill_null(c, 0).to_numpy(zero_copy_only=False), pc.is_valid(c).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])])
             last = np.append(first[1:], len(ids))
             cut = np.append(offsets[first], offsets[-1])
-            if cut[-1] < 2**31:
-                whole = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), buffer])
-            else:
-                whole = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(cut.astype(np.int64).tobytes()), buffer]).cast(pa.string())
+            if cut[-1] >= 2**31:
+                raise ValueError("a turn has 2 GiB or more when it is formatted, which no text column holds")
+            whole = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), buffer])
             own = pc.fill_null(pc.equal(r, LOSS_ROLE), False).to_numpy(zero_copy_only=False)
             loss = []
             for a, b in zip(first.tolist(), last.tolist(), strict=True):

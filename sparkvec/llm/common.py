@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.storage import cut
 
-__all__ = ["SPACE", "SPACE_CLASS", "cut", "labelled_sample", "let", "remainder", "table"]
+__all__ = ["SPACE", "SPACE_CLASS", "cut", "few", "labelled_sample", "let", "remainder", "table"]
 
 #: ASCII white space, and the same as a Java character class; words are runs of anything else.
 SPACE = " \t\n\x0b\f\r"
@@ -25,6 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has no more rows than that; they are a few numbers each. Call it on a cut table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

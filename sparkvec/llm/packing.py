@@ -5,9 +5,10 @@ decreasing looks at nothing but lengths, of which there are at most ``WINDOW``:
 of lengths, whole runs of equal pieces at a time, and yields a plan of a few thousand segments that does not grow with the
 corpus. The r-th piece of its length, by order in the tokenised table, finds its window in the plan by binary search. So packing is global and exact, while no task sees more than its partition.
 
-Ids are those of the tokenizer file, found through ranks of the same vocabulary: chunks between single spaces encode
-independently of each other, so each is encoded once and kept as bytes in a bounded cache; texts with other white space
-around spaces, or with the text of a special token, are encoded whole.
+Ids are those of the tokenizer file, found by another library through ranks of the same vocabulary, which lie beside it;
+that both agree rests on tests. Chunks between single spaces encode independently of each other, so each is encoded once and
+kept as bytes in a bounded cache; texts with other white space around spaces, or with the text of a special token, are encoded
+whole, the latter by the tokenizer file itself.
 
 Defined results: null text is empty and gives one piece, the end id; repeated rows are packed each for itself; an empty
 table gives no rows; further columns are ignored.
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import cut, table
+from sparkvec.llm.common import cut, few, table
 
 WINDOW = 2048
 END_ID = 1
 #: Chunks whose ids a worker keeps, at most.
 CACHE = 250_000
+#: Counts of lengths by partition that are broadcast, at most; more are joined.
+MAX_BROADCAST = 1_000_000
 
 
 class SegmentTree:
@@ -153,9 +156,21 @@ class Encoder:
 
 _ENCODERS: dict[str, Encoder] = {}
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
+_IDS = pa.list_(pa.int32())
+#: Bytes of ids that a worker holds before it passes them on.
+HELD_BYTES = 1 << 25
 
 
-def _cut_pieces(path: str, window: int, end_id: int):
+def _cut_pieces(path: str, window: int, end_id: int, with_ids: bool):
+    schema = _PIECES.append(pa.field("ids", _IDS)) if with_ids else _PIECES
+
+    def made(rows: list[tuple], held: list) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECES), _PIECES, strict=True)]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in held])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+        return pa.record_batch(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
@@ -163,6 +178,8 @@ def _cut_pieces(path: str, window: int, end_id: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
+            held: list = []
+            size = 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = memoryview(encode(text.as_py() or "") + end)
                 n = len(ids) // 4
@@ -171,12 +188,18 @@ def _cut_pieces(path: str, window: int, end_id: int):
                     length = len(piece) // 4
                     rows.append((doc_id.as_py(), start, length, zlib.crc32(piece), n, part, seen[length]))
                     seen[length] += 1
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _PIECES, strict=True)], schema=_PIECES)
+                    if with_ids:
+                        held.append(piece)
+                        size += len(piece)
+                if size > HELD_BYTES:
+                    yield made(rows, held)
+                    rows, held, size = [], [], 0
+            yield made(rows, held)
 
     return run
 
 
-def _place(plan: list[tuple[int, int, int, int, int]]):
+def _place(plan: list[tuple[int, int, int, int, int]], with_ids: bool):
     length, rank, first, offset, each = (np.array(c, dtype=np.int64) for c in zip(*plan, strict=True)) if plan else (np.zeros(0, np.int64),) * 5
     keys = (length << 48) | rank
 
@@ -187,27 +210,31 @@ def _place(plan: list[tuple[int, int, int, int, int]]):
             at = np.searchsorted(keys, (n << 48) | r, side="right") - 1
             k = r - rank[at]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.record_batch(
-                [batch.column(c).cast(pa.int64()) for c in names] + [pa.array(first[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)], names=[*names, "sequence_id", "offset"]
-            )
+            columns = [batch.column(c).cast(pa.int64()) for c in names] + [pa.array(first[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)]
+            if with_ids:
+                columns.append(batch.column("ids"))
+            yield pa.record_batch(columns, names=[*names, "sequence_id", "offset", *(["ids"] if with_ids else [])])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents with their places. ``tokenizer``: path of the tokenizer file on every executor, its
-    ranks beside it."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """The pieces of all documents with their places, and their ``ids`` if wanted. ``tokenizer``: path of the tokenizer file
+    on every executor, its ranks beside it. Pieces lie where they were cut, and nothing but counts is shuffled, up to
+    ``MAX_BROADCAST`` of those."""
+    more = ", ids array<int>" if with_ids else ""
     pieces = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _cut_pieces(tokenizer, window, end_id), "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
+            _cut_pieces(tokenizer, window, end_id, with_ids), "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long" + more
         )
     )
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     counts = cut(counts.select("length", "part", "n", F.coalesce(before, F.lit(0)).alias("before")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = pieces.join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    return ranked.mapInArrow(_place(plan_windows(histogram, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ranked = pieces.join(few(counts.select("length", "part", "before"), MAX_BROADCAST), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
+    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return ranked.mapInArrow(_place(plan_windows(histogram, window), with_ids), shape + more)
 
 
 def tokenizer_path() -> str:

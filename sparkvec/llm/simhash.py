@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import SPACE, cut, table
+from sparkvec.llm.common import SPACE, cut, few, table
 from sparkvec.llm.graph import connected_components
 
 RADIUS = 3
@@ -286,11 +286,6 @@ def _verify_batches(width: int, similarity: float):
     return run
 
 
-def _few(df: DataFrame, max_broadcast: int) -> DataFrame:
-    """``df``, for a broadcast if it has no more rows than that; the rows are a few numbers each."""
-    return F.broadcast(df) if df.limit(max_broadcast + 1).count() <= max_broadcast else df
-
-
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, all_pairs: int = ALL_PAIRS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(a, b) links between texts (fp, text) whose shingle sets have the Jaccard similarity or more, all of them verified.
 
@@ -313,7 +308,7 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int =
     close = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")
     pairs = cut(small.union(large).where((F.col("a.fp") != F.col("b.fp")) & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    found = cut(texts.join(_few(wanted, max_broadcast), "fp", "left_semi").dropDuplicates(["fp"]))
+    found = cut(texts.join(few(wanted, max_broadcast), "fp", "left_semi").dropDuplicates(["fp"]))
     return (
         pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
         .join(found.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
@@ -341,7 +336,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE
     copies = cut(found.where("n > 1 or linked").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_least")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), fp.alias("_fp"))  # columns may have these names
     stays = F.col("_least").isNull() | F.col("_id").isNull() | (F.col("_id") == F.col("_least"))
-    return rows.join(_few(copies, max_broadcast), "_fp", "left").where(stays).select("_row.*")
+    return rows.join(few(copies, max_broadcast), "_fp", "left").where(stays).select("_row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

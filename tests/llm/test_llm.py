@@ -567,6 +567,10 @@ def test_pieces_round_trip(spark, documents, odd):
     assert sorted(seq) == list(range(len(seq)))
     assert sum(r["length"] for r in got) / (2048 * len(seq)) > 0.95
     assert packing.pack(df.where("false"), path).count() == 0
+    whole = {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in df.collect()}
+    for r in packing.pack(df, path, with_ids=True).collect():
+        assert r["ids"] == whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+    assert packing.pack(df.where("false"), path, with_ids=True).count() == 0
 
 
 # 7 chat
@@ -596,6 +600,13 @@ def test_chat_round_trip(spark):
     assert chat.chat_report(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_pieces_of_bounded_bytes():
+    sizes = np.array([5, 5, 30, 1, 1, 1, 9, 0, 0, 2])
+    runs = list(chat._runs(sizes, 10))
+    assert runs == [(0, 2), (2, 1), (3, 3), (6, 3), (9, 1)] and list(chat._runs(np.zeros(0, np.int64))) == []
+    assert [n for _, n in chat._runs(np.zeros(10_000, np.int64))] == [4096, 4096, 1808]
+
+
 # 8 html
 
 PAGE = (

@@ -158,7 +158,7 @@ _ENCODERS: dict[str, Encoder] = {}
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 _IDS = pa.list_(pa.int32())
 #: Bytes of ids that a worker holds before it passes them on.
-HELD_BYTES = 1 << 25
+HELD_BYTES = 1 << 23
 
 
 def _cut_pieces(path: str, window: int, end_id: int, with_ids: bool):

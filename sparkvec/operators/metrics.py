@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.operators import sparse
+from sparkvec.storage import cut
 
+#: Inverse of the error of the percentiles that bracket an exact one, as a share of the values.
+ACCURACY = 10_000
+#: Groups whose brackets are broadcast, at most.
+MAX_GROUPS = 50_000
 BANDS = (0.0, 0.1, 0.5, 1.0, 2.0, float("inf"))
 
 
@@ -92,12 +100,12 @@ def fidelity(a: DataFrame, b: DataFrame, ids: DataFrame, top: int = 10) -> DataF
     none = F.array().cast(dict(tops[0].dtypes)["ta"])
     ta, tb = F.coalesce("ta", none), F.coalesce("tb", none)
     overlap = overlap.select("id", (F.size(F.array_intersect(ta, tb)) / F.greatest(F.lit(1), F.size(ta), F.size(tb))).alias("overlap"))
-    rows = sparse.cosines(a, b, ids).join(diff, "id", "left").join(overlap, "id", "left")
+    rows = cut(sparse.cosines(a, b, ids).join(diff, "id", "left").join(overlap, "id", "left"))
     ratio = F.when(F.coalesce("na", F.lit(0)) == 0, 1.0).otherwise(F.col("nb") / F.col("na"))
     return rows.agg(
         F.count("*").alias("texts"),
         F.avg("cosine").alias("cosine_mean"),
-        F.percentile("cosine", 0.05).alias("cosine_p5"),
+        percentiles_linear(rows, "cosine", [], {"p5": 0.05}).scalar().alias("cosine_p5"),
         F.min("cosine").alias("cosine_min"),
         F.max(zero(F.col("diff"))).alias("max_weight_diff"),
         F.avg("overlap").alias("top_overlap_mean"),
@@ -108,22 +116,26 @@ def fidelity(a: DataFrame, b: DataFrame, ids: DataFrame, top: int = 10) -> DataF
 def weight_bands(a: DataFrame, b: DataFrame) -> DataFrame:
     """(band, terms, mean_delta, p99_delta, max_delta, max_relative, one_sided) by the larger of two weights."""
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    terms = _aligned(a, b).select(F.greatest(x, y).alias("w"), F.abs(x - y).alias("delta"), (F.col("x").isNull() | F.col("y").isNull()).cast("int").alias("one"))
+    w = F.greatest(x, y)
     band = F.lit(None).cast("int")
     for i in reversed(range(len(BANDS) - 1)):
-        band = F.when((F.col("w") >= BANDS[i]) & (F.col("w") < BANDS[i + 1]), i).otherwise(band)
-    return terms.groupBy(band.alias("band")).agg(
+        band = F.when((w >= BANDS[i]) & (w < BANDS[i + 1]), i).otherwise(band)
+    terms = cut(_aligned(a, b).select(band.alias("band"), w.alias("w"), F.abs(x - y).alias("delta"), (F.col("x").isNull() | F.col("y").isNull()).cast("int").alias("one")))
+    sums = terms.groupBy("band").agg(
         F.count("*").alias("terms"),
         F.avg("delta").alias("mean_delta"),
-        F.percentile("delta", 0.99).alias("p99_delta"),
         F.max("delta").alias("max_delta"),
         F.max(F.when(F.col("w") > 0, F.col("delta") / F.col("w")).otherwise(0.0)).alias("max_relative"),
         F.sum("one").alias("one_sided"),
     )
+    high = percentiles_linear(terms, "delta", ["band"], {"p99_delta": 0.99}).withColumnRenamed("band", "_band")
+    joined = sums.join(high, F.col("band").eqNullSafe(F.col("_band")))
+    return joined.select("band", "terms", "mean_delta", "p99_delta", "max_delta", "max_relative", "one_sided")
 
 
 def percentile_linear(values: str, p: float) -> Column:
-    """Linear interpolation; 0 for no values; p is held in 0..1."""
+    """Linear interpolation; 0 for no values; p is held in 0..1. An expression for groups that fit a task by their distinct values;
+    :func:`percentiles_linear` is for larger ones."""
     return F.coalesce(F.percentile(values, max(0.0, min(1.0, p))), F.lit(0.0))
 
 
@@ -132,16 +144,64 @@ def percentile_percent(values: str, p: float) -> Column:
     return percentile_linear(values, p / 100)
 
 
-def percentile_nearest(df: DataFrame, values: str, p: float, by: list[str], rule: str = "nearest") -> DataFrame:
-    """(by, value) at a rank counted from 0: ceil(p n) - 1 ("nearest"), int(p n) - 1 ("floor") or int(p n) ("index"), held in the list.
+def values_at(df: DataFrame, values: str, by: list[str], ranks: dict[str, tuple[float, Callable[[Column], Column]]], accuracy: int = ACCURACY) -> DataFrame:
+    """(by, name...): the exact value at a rank from 0 of each group's sorted values; nulls do not count. ``ranks``: by name the share
+    of the values that lies before it, and the rank for a count.
+
+    A first pass brackets each rank by approximate percentiles, whose error is known; a second counts what lies below a bracket and the
+    distinct values in it, so that only a thousandth or so of a group's values meet in one task."""
+    rows = df.where(F.col(values).isNotNull()).select(*by, F.col(values).alias("_v"))
+    margin = 5 / accuracy
+    probes = [max(0.0, min(1.0, p + side * margin)) for p, _ in ranks.values() for side in (-1, 1)]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", probes, accuracy).alias("_q"))
+    parts = []
+    for i, (name, (_, rank)) in enumerate(ranks.items()):
+        small = F.col("_n") * margin < 4  # a bracket must hold the ranks beside the one in question
+        low = F.when(small | F.lit(probes[2 * i] <= 0), F.col("_min")).otherwise(F.get("_q", F.lit(2 * i)))
+        high = F.when(small | F.lit(probes[2 * i + 1] >= 1), F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1)))
+        at = F.greatest(F.lit(0), F.least(rank(F.col("_n")), F.col("_n") - 1))
+        parts.append(F.struct(F.lit(name).alias("name"), low.alias("low"), high.alias("high"), at.cast("long").alias("rank")))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    brackets = cut(groups.select(*keys, F.array(*parts).alias("_t")))
+    if by:
+        few = F.broadcast(brackets) if brackets.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else brackets
+        met = rows.join(few, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]))
+    else:
+        met = rows.withColumn("_t", brackets.select("_t").scalar())
+    each = met.select(*by, "_v", F.explode("_t").alias("_t")).where(F.col("_v") <= F.col("_t.high"))
+    inside = F.when(F.col("_v") >= F.col("_t.low"), F.col("_v")).alias("_v")
+    counted = each.select(*by, F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank"), inside).groupBy(*by, "_name", "_rank", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()))
+    found = counted.withColumn("_upto", upto).where("_upto > _rank")
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def percentiles_linear(df: DataFrame, values: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(by, name...): exact percentiles with linear interpolation, by names with their p in 0..1."""
+    ranks = {}
+    for name, p in wanted.items():
+        ranks[f"_low_{name}"] = (p, lambda n, p=p: F.floor(F.lit(p) * (n - 1)))
+        ranks[f"_high_{name}"] = (p, lambda n, p=p: F.ceil(F.lit(p) * (n - 1)))
+    counts = df.where(F.col(values).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
+    at = values_at(df, values, by, ranks)
+    if by:
+        keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+        rows = at.join(counts.select(*keys, "_n"), same)
+    else:
+        rows = at.withColumn("_n", counts.select("_n").scalar())
+
+    def between(name: str, p: float) -> Column:
+        low, high, h = F.col(f"_low_{name}").cast("double"), F.col(f"_high_{name}").cast("double"), F.lit(p) * (F.col("_n") - 1)
+        return (low + (h - F.floor(h)) * (high - low)).alias(name)
+
+    return rows.select(*by, *[between(name, p) for name, p in wanted.items()])
 
-    Values are counted before they are ranked, so a group is as large as its distinct values."""
-    counted = df.where(F.col(values).isNotNull()).groupBy(*by, values).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    ranked = counted.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(values)))
-    at = {"nearest": F.ceil(F.col("n") * F.lit(p)) - 1, "floor": F.floor(F.col("n") * F.lit(p)) - 1, "index": F.floor(F.col("n") * F.lit(p))}[rule]
-    at = F.greatest(F.lit(0), F.least(at, F.col("n") - 1))
-    return ranked.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*by, F.col(values).alias("value"))
+
+def percentile_nearest(df: DataFrame, values: str, p: float, by: list[str], rule: str = "nearest") -> DataFrame:
+    """(by, value) at a rank counted from 0: ceil(p n) - 1 ("nearest"), int(p n) - 1 ("floor") or int(p n) ("index"), held in the list."""
+    at = {"nearest": lambda n: F.ceil(n * F.lit(p)) - 1, "floor": lambda n: F.floor(n * F.lit(p)) - 1, "index": lambda n: F.floor(n * F.lit(p))}[rule]
+    return values_at(df, values, by, {"value": (p, at)})
 
 
 def upper_median(df: DataFrame, values: str, by: list[str]) -> DataFrame:
@@ -150,9 +210,14 @@ def upper_median(df: DataFrame, values: str, by: list[str]) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, values: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(values).alias("n"), F.min(values).alias("min"), F.percentile(values, 0.5).alias("p50"), F.percentile(values, 0.95).alias("p95"), F.max(values).alias("max")
-    )
+    """(by, n, min, p50, p95, max) of groups that have values."""
+    plain = df.where(F.col(values).isNotNull()).groupBy(*by).agg(F.count(values).alias("n"), F.min(values).alias("min"), F.max(values).alias("max"))
+    ranked = percentiles_linear(df, values, by, {"p50": 0.5, "p95": 0.95})
+    if not by:
+        return plain.select("n", "min", *[ranked.select(c).scalar().alias(c) for c in ("p50", "p95")], "max")
+    keys = [F.col(c).alias(f"_j{i}") for i, c in enumerate(by)]
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate(by)])
+    return plain.join(ranked.select(*keys, "p50", "p95"), same).select(*by, "n", "min", "p50", "p95", "max")
 
 
 def relative_delta(current: Column, base: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.operators.batching import number_rows
+from sparkvec.storage import cut
+
 OBJECTIVES = ("latency", "throughput", "memory", "balanced")
 TASKS = ("embedding", "reranking", "sparse", "image")
 TIE = 0.05
@@ -43,8 +46,8 @@ def costs(measurements: DataFrame, objective: str, budget_ms: float = 0.0) -> Da
     if objective not in OBJECTIVES:
         raise ValueError(f"objective must be one of {OBJECTIVES}")
     rows = feasible(measurements, budget_ms).withColumn("tail", tail_latency())
-    every = W.partitionBy(F.lit(0))
-    least_tail, most, least_memory = F.min("tail").over(every), F.max("throughput").over(every), F.min("memory_mb").over(every)
+    best = rows.agg(F.min("tail").alias("tail"), F.max("throughput").alias("most"), F.min("memory_mb").alias("memory"))
+    least_tail, most, least_memory = (best.select(c).scalar() for c in ("tail", "most", "memory"))
     latency = F.when(least_tail > 0, F.col("tail") / least_tail).otherwise(1.0)
     speed = F.when(F.col("throughput") > 0, most / F.col("throughput")).otherwise(NO_THROUGHPUT)
     memory = (F.col("memory_mb") + MEMORY_OFFSET) / (least_memory + MEMORY_OFFSET) + MEMORY_LATENCY_SHARE * latency
@@ -54,8 +57,9 @@ def costs(measurements: DataFrame, objective: str, budget_ms: float = 0.0) -> Da
 
 def select_best(measurements: DataFrame, objective: str, budget_ms: float = 0.0, tie: float = TIE) -> DataFrame:
     """At most one row: the earliest ``idx`` whose cost is within ``tie`` of the least."""
-    rows = costs(measurements, objective, budget_ms).withColumn("least", F.min("cost").over(W.partitionBy(F.lit(0))))
-    return rows.where(F.col("cost") <= F.col("least") * (1 + tie)).orderBy("idx").limit(1).drop("least", "tail")
+    rows = costs(measurements, objective, budget_ms)
+    least = rows.agg(F.min("cost")).scalar()
+    return rows.where(F.col("cost") <= least * (1 + tie)).orderBy("idx").limit(1).drop("tail")
 
 
 def search(measurements: DataFrame, objective: str, budget_ms: float = 0.0) -> DataFrame:
@@ -280,18 +284,20 @@ def length_bucket(text: Column | str) -> Column:
 
 
 def stratified_sample(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``size`` rows spread over length buckets: in each, every step-th by key; filled up in order of the MD5 of the key."""
+    """``size`` rows spread over length buckets: in each, every step-th by key; filled up in order of the MD5 of the key. Keys are numbered
+    without their texts, by ranges of them; the sample of texts is met at the end."""
     total = df.count()
     if total <= size:
         return df
     per = max(1, size // 10)
-    rows = df.withColumn("_b", length_bucket(text))
-    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1)
+    rows = df.select(key, length_bucket(text).cast("int").alias("_b"))
+    placed = cut(number_rows(rows, [F.col(key)], "_i", by=["_b"]))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_c"))
     wanted = counts.select(F.col("_b"), F.explode(F.when(F.col("_c") <= per, F.sequence(F.lit(0), F.col("_c").cast("int") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.floor(i * (F.col("_c") / F.lit(per))).cast("int")))).alias("_i"))
-    first = placed.join(wanted.distinct(), ["_b", "_i"], "left_semi").withColumn("_o", F.struct(F.lit(0), F.lpad(F.col("_b").cast("string"), 4, "0"), F.lpad(F.col("_i").cast("string"), 20, "0")))
-    rest = placed.join(first.select(key), key, "left_anti").withColumn("_o", F.struct(F.lit(1), F.md5(F.col(key).cast("string")), F.lit("")))
-    return first.unionByName(rest.orderBy("_o").limit(size)).orderBy("_o").limit(size).select(*df.columns)
+    first = placed.join(F.broadcast(wanted.distinct()), ["_b", "_i"], "left_semi").withColumn("_o", F.struct(F.lit(0), F.lpad(F.col("_b").cast("string"), 4, "0"), F.lpad(F.col("_i").cast("string"), 20, "0")))
+    rest = placed.join(F.broadcast(first.select(key)), key, "left_anti").withColumn("_o", F.struct(F.lit(1), F.md5(F.col(key).cast("string")), F.lit("")))
+    chosen = first.unionByName(rest.orderBy("_o").limit(size)).orderBy("_o").limit(size).select(key)
+    return df.join(F.broadcast(chosen), key, "left_semi")
 
 
 def split_workload(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -169,7 +169,7 @@ def _(spark, sf):
 # Sparse vectors: terms of whole documents
 
 _PAT = text.BASIC_ASCII.replace("'", "''")
-_TOKENS = f"SELECT doc_id AS id, regexp_extract_all(lower(text), '{_PAT}') AS w FROM documents WHERE text IS NOT NULL"
+_TOKENS = f"SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '{_PAT}') AS w FROM documents"
 _TF = f"SELECT id, term, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT id, unnest(w) AS term FROM ({_TOKENS})) GROUP BY id, term"
 _LOGITS = f"SELECT id, i AS pos, w[i + 1] AS term, ((i * 7 + length(w[i + 1])) % 11 - 3) / 4.0 AS logit FROM (SELECT id, w, unnest(range(0, len(w))) AS i FROM ({_TOKENS}))"
 _SPLADE = f"SELECT id, term, ln(1 + max(logit)) AS weight FROM ({_LOGITS}) GROUP BY id, term HAVING max(logit) > 0"
@@ -177,8 +177,8 @@ _PRUNED = f"SELECT id, term, weight FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII), F.lit(0))
-    return read(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), words.alias("w"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(text.BASIC_ASCII), F.lit(0))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("w"))
 
 
 def _tf(spark: SparkSession, sf: str) -> DataFrame:
@@ -464,27 +464,33 @@ def _(spark, sf):
 
 # Texts
 
-_DOCS = "FROM documents WHERE text IS NOT NULL"
+_DOCS = "FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, a null text as an empty one."""
+    return read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
 
 
 @query("ascii_lower", f"SELECT doc_id, md5(translate(text, '{text.UPPER}', '{text.LOWER}')) AS digest {_DOCS}")
 def _(spark, sf):
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.ascii_lower("text")).alias("digest"))
+    return _texts(spark, sf).select("doc_id", F.md5(text.ascii_lower("text")).alias("digest"))
 
 
 @query("clean_text", f"SELECT doc_id, md5(regexp_replace(text, '{text.REMOVED}', '', 'g')) AS digest {_DOCS}")
 def _(spark, sf):
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.clean_text("text")).alias("digest"))
+    return _texts(spark, sf).select("doc_id", F.md5(text.clean_text("text")).alias("digest"))
 
 
 @query("isolate_ideographs", f"SELECT doc_id, md5(regexp_replace(text, '{text.IDEOGRAPH}', ' \\1 ', 'g')) AS digest {_DOCS}")
 def _(spark, sf):
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.isolate_ideographs("text")).alias("digest"))
+    return _texts(spark, sf).select("doc_id", F.md5(text.isolate_ideographs("text")).alias("digest"))
 
 
 @query("basic_tokenize", f"SELECT id AS doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest FROM ({_TOKENS})")
 def _(spark, sf):
-    rows = read(spark, sf, "documents").where("text is not null").select("doc_id", text.basic_tokenize("text", ascii_only=True).alias("w"))
+    rows = _texts(spark, sf).select("doc_id", text.basic_tokenize("text", ascii_only=True).alias("w"))
     return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
@@ -493,20 +499,20 @@ _FOLDED = f"translate(text, '{text.UPPER + text.FOLD_FROM}', '{text.LOWER + text
 
 @query("legacy_tokenize", f"SELECT doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all({_FOLDED}, '{text.LEGACY}') AS w {_DOCS})")
 def _(spark, sf):
-    rows = read(spark, sf, "documents").where("text is not null").select("doc_id", text.legacy_tokenize("text").alias("w"))
+    rows = _texts(spark, sf).select("doc_id", text.legacy_tokenize("text").alias("w"))
     return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @query("metaspace", f"SELECT doc_id, CAST(length(m) - length(replace(m, '▁', '')) AS INT) AS n, md5(m) AS digest FROM (SELECT doc_id, CASE WHEN starts_with(text, ' ') OR text = '' THEN replace(text, ' ', '▁') ELSE '▁' || replace(text, ' ', '▁') END AS m {_DOCS})")
 def _(spark, sf):
-    rows = read(spark, sf, "documents").where("text is not null").select("doc_id", text.metaspace("text").alias("p"))
+    rows = _texts(spark, sf).select("doc_id", text.metaspace("text").alias("p"))
     return rows.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "")).alias("digest"))
 
 
-@query("unigram_normalize", f"SELECT doc_id, md5(regexp_replace('_' || regexp_replace(replace(text, 'the', 'THE'), ' {{2,}}', ' ', 'g'), '\\s+$', '')) AS digest {_DOCS} AND text <> ''")
+@query("unigram_normalize", f"SELECT doc_id, md5(CASE WHEN text = '' THEN '' ELSE regexp_replace('_' || regexp_replace(replace(text, 'the', 'THE'), ' {{2,}}', ' ', 'g'), '\\s+$', '') END) AS digest {_DOCS}")
 def _(spark, sf):
     steps = [("replace", "the", "THE"), ("collapse", 2, " "), ("prepend", "_"), ("strip", False, True)]
-    return read(spark, sf, "documents").where("text is not null and text <> ''").select("doc_id", F.md5(text.unigram_normalize("text", steps)).alias("digest"))
+    return _texts(spark, sf).select("doc_id", F.md5(text.unigram_normalize("text", steps)).alias("digest"))
 
 
 _IDS = f"SELECT id, list_transform(w, lambda x: length(x)) AS ids FROM ({_TOKENS})"

@@ -231,6 +231,23 @@ def test_vocabulary_and_legacy_tokens(spark):
     assert got == ["creme", "brulee", ",", "Æ", "Ø", "is", "Ā", "-", "x", "y"]
 
 
+def test_exact_ranks_of_any_values(spark):
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=30_000), "b": rng.integers(0, 4, 5000).astype(float), None: np.array([3.0]), "c": np.repeat([1.0, 2.0], [9000, 10]), "d": rng.exponential(size=77)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for p in (0.0, 0.003, 0.5, 0.95, 0.999, 1.0):
+        for accuracy in (metrics.ACCURACY, 200):
+            got = {r["g"]: r["x"] for r in metrics.values_at(df, "v", ["g"], {"x": (p, lambda n, p=p: F.floor(n * F.lit(p)))}, accuracy).collect()}
+            assert got == {g: np.sort(v)[min(len(v) - 1, int(len(v) * p))] for g, v in groups.items()}
+        got = {r["g"]: r["x"] for r in metrics.percentiles_linear(df, "v", ["g"], {"x": p}).collect()}
+        assert got == pytest.approx({g: np.percentile(v, 100 * p) for g, v in groups.items()})
+    every = np.concatenate(list(groups.values()))
+    assert metrics.percentiles_linear(df, "v", [], {"x": 0.3}).first()[0] == pytest.approx(np.percentile(every, 30))
+    whole = metrics.latency_summary(df, "v", []).first()
+    assert (whole["n"], whole["max"]) == (len(every), every.max()) and whole["p95"] == pytest.approx(np.percentile(every, 95))
+
+
 def test_budget_batches(spark):
     lengths = [300, 200, 200, 60, 50, 50, 1, 0]
     expect = batching.cut_by_budget(lengths, 16, 512)

@@ -220,6 +220,15 @@ def latency_summary(df: DataFrame, values: str, by: list[str]) -> DataFrame:
     return plain.join(ranked.select(*keys, "p50", "p95"), same).select(*by, "n", "min", "p50", "p95", "max")
 
 
+def running_stats(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(by, texts, batches, calls, avg_latency_ms) of a log (by, kind, texts, batches, latency_ms): streams count their texts and batches
+    but no latency; the average is 0 without a call that has one."""
+    timed = F.col("kind") != "stream"
+    n = F.count_if(timed)
+    average = F.when(n > 0, F.coalesce(F.sum(F.when(timed, F.col("latency_ms"))), F.lit(0.0)) / n).otherwise(0.0)
+    return calls.groupBy(*by).agg(F.sum("texts").alias("texts"), F.sum("batches").alias("batches"), n.alias("calls"), average.alias("avg_latency_ms"))
+
+
 def relative_delta(current: Column, base: Column) -> Column:
     return 100 * (current - base) / base
 

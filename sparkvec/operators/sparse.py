@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +84,29 @@ def prune(postings: DataFrame, min_weight: float = 0.0, top_k: int = 0) -> DataF
     return out
 
 
+@dataclass(frozen=True)
+class Options:
+    """What is done with pooled vectors. One set serves a context; a call may change some of it."""
+
+    special: tuple[int, ...] = ()
+    min_weight: float = 0.0
+    top_k: int = 0
+    order: str = DICT
+
+    def __post_init__(self):
+        if self.min_weight < 0 or self.top_k < 0:
+            raise ValueError("min_weight and top_k must not be negative")
+        if self.order not in (DICT, INDEX_ORDER):
+            raise ValueError(f"order must be {DICT} or {INDEX_ORDER}")
+
+
+def finish(postings: DataFrame, options: Options = Options(), **changes) -> DataFrame:
+    """(id, indices, values) of pooled postings: special ids go, then light weights, then all but the heaviest, in the order
+    asked for. ``changes`` that are not None hold for this call."""
+    own = replace(options, **{k: v for k, v in changes.items() if v is not None})
+    return to_struct(prune(drop_special(postings, list(own.special)), own.min_weight, own.top_k), own.order)
+
+
 def to_struct(postings: DataFrame, order: str = DICT) -> DataFrame:
     """(id, indices, values): by weight downwards, or by index with INDEX_ORDER."""
     if order not in (DICT, INDEX_ORDER):

@@ -157,6 +157,12 @@ for _kind, _knn_text in (("cosine", _KNN_COS), ("dot", _KNN_DOT)):
         lambda spark, sf, kind=_kind: _knn(spark, sf, kind).select("q", "d", F.round("score", 6).alias("score"), "rank")
     )
 
+@query("pairwise_similarity", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_cos('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def _(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _rounded(retrieve.pair_scores(retrieve.neighbour_pairs(e)), "score").select("i", "j", "score")
+
+
 _IMAGES = _knn_sql(_cos("a.embedding", "b.embedding")).replace("a.vec_id <> b.vec_id", "b.vec_id % 2 = 1")
 
 
@@ -239,6 +245,12 @@ for _order, _by in ((sparse.DICT, "weight DESC, term"), (sparse.INDEX_ORDER, "te
     )
 
 
+@query("sparse_finish", f"SELECT id, string_agg(term, ' ' ORDER BY term) AS terms FROM (SELECT * FROM ({_TF}) WHERE term NOT IN ('the', '.') AND weight >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 5) GROUP BY id")
+def _(spark, sf):
+    own = sparse.Options(special=("the", "."), min_weight=1.0, top_k=5)
+    return sparse.finish(_tf(spark, sf), own, min_weight=2.0, top_k=None, order=sparse.INDEX_ORDER).select("id", F.array_join("indices", " ").alias("terms"))
+
+
 @query("sparse_csr", f'SELECT id, n AS nnz, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS "offset" FROM (SELECT id, count(*) AS n FROM ({_TF}) GROUP BY id)')
 def _(spark, sf):
     return sparse.to_csr(sparse.to_struct(_tf(spark, sf), sparse.INDEX_ORDER)).select("id", F.size("indices").cast("long").alias("nnz"), "offset")
@@ -414,6 +426,17 @@ def _(spark, sf):
     return _rounded(metrics.latency_summary(read(spark, sf, "events"), "value", ["event_type"]), "p50", "p95")
 
 
+_CALLS = "SELECT event_type, CASE WHEN event_id % 4 = 0 THEN 'stream' ELSE 'call' END AS kind, event_id % 50 AS texts, event_id % 50 // 32 + 1 AS batches, value AS latency_ms FROM events"
+
+
+@query("running_stats", f"SELECT event_type, CAST(sum(texts) AS BIGINT) AS texts, CAST(sum(batches) AS BIGINT) AS batches, count(*) FILTER (WHERE kind <> 'stream') AS calls, round(coalesce(sum(latency_ms) FILTER (WHERE kind <> 'stream') / nullif(count(*) FILTER (WHERE kind <> 'stream'), 0), 0), 6) AS avg_latency_ms FROM ({_CALLS}) GROUP BY event_type")
+def _(spark, sf):
+    kind = F.when(F.col("event_id") % 4 == 0, "stream").otherwise("call")
+    texts = F.col("event_id") % 50
+    calls = read(spark, sf, "events").select("event_type", kind.alias("kind"), texts.alias("texts"), (F.floor(texts / 32) + 1).alias("batches"), F.col("value").alias("latency_ms"))
+    return _rounded(metrics.running_stats(calls, ["event_type"]), "avg_latency_ms")
+
+
 @query("noise_test", "SELECT event_type, round(100 * (m - t) / t, 6) AS delta, abs(100 * (m - t) / t) < 5 AS noise FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type), (SELECT avg(value) AS t FROM events)")
 def _(spark, sf):
     e = read(spark, sf, "events")

@@ -286,6 +286,16 @@ def test_pooling_in_rows_is_pooling(spark):
     assert [tuple(r) for r in sparse.counted_rows(words, "w").orderBy("id").collect()] == [(1, ["a", "b"], [1.0, 2.0]), (2, [], [])]
 
 
+def test_options_of_a_call(spark):
+    p = spark.createDataFrame([(1, t, w) for t, w in ((5, 0.2), (3, 0.9), (9, 0.9), (101, 2.0))], "id int, term int, weight double")
+    own = sparse.Options(special=(101,), min_weight=0.1)
+    assert sparse.finish(p, own).first()["indices"] == [3, 9, 5] and sparse.finish(p, own, top_k=1, min_weight=None).first()["indices"] == [3]
+    assert sparse.finish(p).first()["indices"] == [101, 3, 9, 5] and own == sparse.Options((101,), 0.1)
+    for wrong in ({"min_weight": -1.0}, {"top_k": -1}, {"order": "other"}):
+        with pytest.raises(ValueError):
+            sparse.finish(p, own, **wrong)
+
+
 # Batches, tuning and streams
 
 

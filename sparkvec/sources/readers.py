@@ -110,7 +110,7 @@ def load_npz(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_gguf(raw: bytes) -> dict:
     """Metadata and tensors of a model file's header; ``diagnostic`` says why it is not usable."""
-    out: dict = {"meta": {}, "tensors": {}, "diagnostic": ""}
+    out: dict = {"meta": {}, "tensors": {}, "places": {}, "data": 0, "diagnostic": ""}
     at = 0
 
     def take(form: str):
@@ -156,14 +156,35 @@ def parse_gguf(raw: bytes) -> dict:
         for _ in range(n_tensors):
             name = string()
             shape = [take("Q") for _ in range(take("I"))]
-            take("I")
-            take("Q")
             out["tensors"][name] = shape
+            out["places"][name] = (take("I"), take("Q"))
+        step = int(out["meta"].get("general.alignment", 32))
+        out["data"] = -(-at // step) * step
     except (ValueError, struct.error) as e:
         out["diagnostic"] = str(e)
     return out
 
 
+def gguf_tensors(raw: bytes) -> dict[str, np.ndarray]:
+    """Tensors of a model file as floats, rows first: 32-bit, 16-bit and 8-bit ones in blocks of 32 with a 16-bit scale."""
+    head = parse_gguf(raw)
+    if head["diagnostic"]:
+        raise ValueError(head["diagnostic"])
+    out = {}
+    for name, shape in head["tensors"].items():
+        kind, offset = head["places"][name]
+        at, n = head["data"] + offset, int(np.prod(shape, dtype=np.int64))
+        if kind in (0, 1):
+            flat = np.frombuffer(raw, "<f4" if kind == 0 else "<f2", n, at).astype(np.float32)
+        elif kind == 8:
+            blocks = np.frombuffer(raw, np.dtype([("scale", "<f2"), ("q", "i1", 32)]), n // 32, at)
+            flat = (blocks["q"].astype(np.float32) * blocks["scale"].astype(np.float32)[:, None]).reshape(-1)
+        else:
+            raise ValueError(f"{name} is of a kind that is not read: {kind}")
+        out[name] = flat.reshape(shape[::-1])
+    return out
+
+
 _GGUF = "path string, architecture string, name string, vocab_size int, embedding_length int, block_count int, context_length int, n_tensors long, tensors array<string>, sparse_out long, has_special boolean, diagnostic string"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions import subword, vector
 from sparkvec.operators import batching, retrieve, sparse, tuning
-from sparkvec.plans import providers, registry, resolve
+from sparkvec.plans import bert, providers, registry, resolve
 from sparkvec.sources import images, readers
 from sparkvec.streaming import embed as streaming
 from test_operators import gather_model, gguf
@@ -94,6 +94,75 @@ def test_embed_missing_with_repeated_texts(spark):
     assert got[1] == got[2] == [9.0] and got[3] in ([1.0], [-1.0]) and got[4] is None and len(got) == 4
 
 
+def bert_by_hand(w, heads, ids):
+    """Logits of one text without a mask, number by number."""
+    norm = lambda x, name: [(v - np.mean(x)) / np.sqrt(np.mean((np.array(x) - np.mean(x)) ** 2) + 1e-12) * a + b for v, a, b in zip(x, w[f"{name}.weight"], w[f"{name}.bias"], strict=True)]
+    dense = lambda x, name: [sum(a * b for a, b in zip(row, x, strict=True)) + c for row, c in zip(w[f"{name}.weight"], w[f"{name}.bias"], strict=True)]
+    gelu = lambda x: [0.5 * v * (1 + np.tanh(np.sqrt(2 / np.pi) * (v + 0.044715 * v**3))) for v in x]
+    xs = [norm(w["token_embd.weight"][t] + w["position_embd.weight"][p] + w["token_type_embd.weight"][0], "embd_ln") for p, t in enumerate(ids)]
+    for k in range(2):
+        q, key, v = ([dense(x, f"enc.{k}.attn.{c}") for x in xs] for c in "qkv")
+        size, out = len(xs[0]) // heads, []
+        for i, x in enumerate(xs):
+            seen = []
+            for h in range(heads):
+                own = slice(h * size, (h + 1) * size)
+                e = np.exp([np.dot(q[i][own], other[own]) / np.sqrt(size) for other in key])
+                seen += sum(a * np.array(u[own]) for a, u in zip(e / e.sum(), v, strict=True)).tolist()
+            a = norm([s + t for s, t in zip(x, dense(seen, f"enc.{k}.attn.o"), strict=True)], f"enc.{k}.ln1")
+            out.append(norm([s + t for s, t in zip(a, dense(gelu(dense(a, f"enc.{k}.ffn.fc1")), f"enc.{k}.ffn.fc2"), strict=True)], f"enc.{k}.ln2"))
+        xs = out
+    return np.array([[np.dot(norm(gelu(dense(x, "mlm_transform")), "mlm_ln"), e) + b for e, b in zip(w["token_embd.weight"], w["mlm_bias"], strict=True)] for x in xs])
+
+
+def test_sparse_vectors_of_a_model_file(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "the", "cat", "##s", "sat"]
+    width, inner = 32, 64
+    shapes = {"token_embd.weight": (len(pieces), width), "position_embd.weight": (16, width), "token_type_embd.weight": (2, width), "mlm_bias": (len(pieces),), "mlm_transform.weight": (width, width), "mlm_transform.bias": (width,)}
+    for k in range(2):
+        for c in "qkvo":
+            shapes |= {f"enc.{k}.attn.{c}.weight": (width, width), f"enc.{k}.attn.{c}.bias": (width,)}
+        shapes |= {f"enc.{k}.ffn.fc1.weight": (inner, width), f"enc.{k}.ffn.fc1.bias": (inner,), f"enc.{k}.ffn.fc2.weight": (width, inner), f"enc.{k}.ffn.fc2.bias": (width,)}
+    for name in ("embd_ln", "mlm_ln", *(f"enc.{k}.ln{i}" for k in range(2) for i in (1, 2))):
+        shapes |= {f"{name}.weight": (width,), f"{name}.bias": (width,)}
+    w = {n: (rng.normal(size=s) / 4).astype(np.float32) for n, s in shapes.items()}
+    # as a file: one matrix of halves, one of blocks of bytes, the rest whole
+    text = lambda x: struct.pack("<Q", len(x)) + x.encode()
+    head, body = b"", b""
+    for name, a in w.items():
+        kind = {"mlm_transform.weight": 1, "enc.1.ffn.fc2.weight": 8}.get(name, 0)
+        if kind == 8:
+            blocks = a.reshape(-1, 32)
+            scale = (np.abs(blocks).max(axis=1) / 127).astype("<f2")
+            q = np.round(blocks / scale.astype(np.float32)[:, None]).astype("i1")
+            raw = b"".join(s.tobytes() + x.tobytes() for s, x in zip(scale, q, strict=True))
+            w[name] = (q * scale.astype(np.float32)[:, None]).reshape(a.shape)
+        else:
+            w[name] = a.astype("<f2" if kind else "<f4").astype(np.float32)
+            raw = a.astype("<f2" if kind else "<f4").tobytes()
+        head += text(name) + struct.pack("<I", a.ndim) + struct.pack(f"<{a.ndim}Q", *a.shape[::-1]) + struct.pack("<IQ", kind, len(body))
+        body += raw + b"\0" * (-len(raw) % 32)
+    meta = text("general.architecture") + struct.pack("<I", 8) + text("bert") + text("bert.attention.head_count") + struct.pack("<II", 4, 4)
+    whole = b"GGUF" + struct.pack("<IQQ", 3, len(w), 2) + meta + head
+    (tmp_path / "m.gguf").write_bytes(whole + b"\0" * (-len(whole) % 32) + body)
+    tensors = readers.gguf_tensors((tmp_path / "m.gguf").read_bytes())
+    assert all((tensors[n] == w[n]).all() for n in w)
+
+    file = subword.load_tokenizer(json.dumps({"model": {"type": "WordPiece", "vocab": {p: i for i, p in enumerate(pieces)}, "unk_token": "[UNK]"}, "normalizer": {"type": "BertNormalizer"}}))
+    provider = bert.SpladeProvider(str(tmp_path / "m.gguf"), file, max_length=8)
+    texts = ["The cats sat", "cat", None, "the the the the the the the the the the", "dog sat"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: dict(zip(r["indices"], r["values"], strict=True)) if r["indices"] is not None else None for r in bert.sparse_embed(rows, provider, batch_size=2).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        ids = provider.ids(t)
+        best = bert_by_hand({n: a.astype(np.float64) for n, a in w.items()}, 4, ids).max(axis=0)
+        assert len(ids) <= 8 and got[i] == pytest.approx({k: np.log1p(best[k]) for k in range(4, len(pieces)) if best[k] > 0}, abs=1e-4)
+
+
 # Tokenizer files
 
 

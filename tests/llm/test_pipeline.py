@@ -54,6 +54,34 @@ def test_run_by_hand(spark, folder):
     assert len(expect) == 42
 
 
+def test_stages_take_odd_rows(spark, folder):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and columns of clashing names."""
+    from pyspark.sql import functions as F
+
+    at, rows, item = folder
+    good = rows[3][1]
+    long = "\n".join(rows[i % 30][1] for i in range(400))
+    odd = [(1, None, "en", "s1", None), (2, "", None, None, 0), (3, " \n\t", "en", "s2", 3), (4, good, "en", "s3", 1), (4, good, "en", "s3", 1), (5, good.upper(), None, None, 1), (None, good, "en", "s4", 1), (6, long, "en", "s5", 1), (6, "other " + item, "en", "s6", 1)]
+    df = spark.createDataFrame(odd, DOCS).withColumns({c: F.lit(7) for c in ("_row", "_fp", "_id", "h", "key", "n_words", "kept", "llr", "ranges", "items", "fp", "ids", "_k1")})
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, docs=df):
+        out = stages[name](spark, docs, at)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], len(r["text"] or "")) for r in out.collect()), key=str)
+
+    every = sorted(((i, len(t or "")) for i, t, *_ in odd), key=str)
+    of = lambda *gone: [x for x in every if x not in gone]
+    short = (6, len("other " + item))
+    assert kept("quality_rules") == of((1, 0), (2, 0), (3, 3), short, *(x for x in every if x[1] > 10_000))  # the long one repeats itself
+    assert kept("line_dedup") == every
+    assert kept("simhash_near_dedup") == of((2, 0), (3, 3), (5, len(good)))
+    assert kept("decontamination") == of(short)
+    pieces = stages["packing"](spark, df, at).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(odd) and all(len(r["ids"]) == r["length"] for r in pieces)
+    assert {r["doc_id"] for r in pieces if r["ids"] == [1]} == {1, 2}
+
+
 def test_stages(spark, folder, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")

@@ -873,7 +873,7 @@ def _lines(table: str) -> list[tuple]:
     return [(i, *line.split("|")) for i, line in enumerate(table.strip().splitlines())]
 
 
-_REG = _values(_lines(registry.MODELS), "ordinal, kind, name, code, file, description, dim, max_tokens, pooling, quantization")
+_REG = _values(_lines(registry.MODELS), "ordinal, kind, name, code, file, dim, max_tokens, pooling, quantization")
 _REG_SIZES = _values(_lines(registry.SIZES), "o, code, file, size_mb")
 _WANTED = ["BAAI/bge-small-en-v1.5", "Xenova/bge-base-en-v1.5", "all-MiniLM-L6-v2", "minilm_l12", "nowhere"]
 

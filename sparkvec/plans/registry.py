@@ -6,66 +6,66 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# kind|name|code|file|description|dim|max tokens|pooling|quantization, in registry order.
+# kind|name|code|file|dim|max tokens|pooling|quantization, in registry order.
 MODELS = """
-text|sentence-transformers/all-MiniLM-L6-v2|Qdrant/all-MiniLM-L6-v2-onnx|model.onnx|Sentence Transformer model, MiniLM-L6-v2|384|512|mean|none
-text|sentence-transformers/all-MiniLM-L6-v2|Xenova/all-MiniLM-L6-v2|onnx/model_quantized.onnx|Quantized Sentence Transformer, MiniLM-L6-v2|384|512|mean|dynamic
-text|sentence-transformers/all-MiniLM-L12-v2|Xenova/all-MiniLM-L12-v2|onnx/model.onnx|Sentence Transformer model, MiniLM-L12-v2|384|512|mean|none
-text|sentence-transformers/all-MiniLM-L12-v2|Xenova/all-MiniLM-L12-v2|onnx/model_quantized.onnx|Quantized Sentence Transformer, MiniLM-L12-v2|384|512|mean|dynamic
-text|sentence-transformers/all-mpnet-base-v2|Xenova/all-mpnet-base-v2|onnx/model.onnx|Sentence Transformer model, mpnet-base-v2|768|512|mean|none
-text|BAAI/bge-base-en-v1.5|Xenova/bge-base-en-v1.5|onnx/model.onnx|v1.5 release of the base English model|768|512|cls|none
-text|BAAI/bge-base-en-v1.5|Qdrant/bge-base-en-v1.5-onnx-Q|model_optimized.onnx|FP16 v1.5 base English model (ORT-optimized graph)|768|512|cls|fp16
-text|BAAI/bge-large-en-v1.5|Xenova/bge-large-en-v1.5|onnx/model.onnx|v1.5 release of the large English model|1024|512|cls|none
-text|BAAI/bge-large-en-v1.5|Qdrant/bge-large-en-v1.5-onnx-Q|model_optimized.onnx|FP16 v1.5 large English model (ORT-optimized graph)|1024|512|cls|fp16
-text|BAAI/bge-small-en-v1.5|Xenova/bge-small-en-v1.5|onnx/model.onnx|v1.5 release of the fast and default English model|384|512|cls|none
-text|BAAI/bge-small-en-v1.5|Qdrant/bge-small-en-v1.5-onnx-Q|model_optimized.onnx|FP16 v1.5 fast and default English model (ORT-optimized graph)|384|512|cls|fp16
-text|nomic-ai/nomic-embed-text-v1|nomic-ai/nomic-embed-text-v1|onnx/model.onnx|8192 context length English model|768|8192|mean|none
-text|nomic-ai/nomic-embed-text-v1.5|nomic-ai/nomic-embed-text-v1.5|onnx/model.onnx|v1.5 8192 context length English model|768|8192|mean|none
-text|nomic-ai/nomic-embed-text-v1.5|nomic-ai/nomic-embed-text-v1.5|onnx/model_quantized.onnx|Quantized v1.5 8192 context length English model|768|8192|mean|dynamic
-text|sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2|Xenova/paraphrase-multilingual-MiniLM-L12-v2|onnx/model.onnx|Multi-lingual model|384|512|mean|none
-text|sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2|Qdrant/paraphrase-multilingual-MiniLM-L12-v2-onnx-Q|model_optimized.onnx|FP16 multi-lingual model (ORT-optimized graph)|384|512|mean|fp16
-text|sentence-transformers/paraphrase-multilingual-mpnet-base-v2|Xenova/paraphrase-multilingual-mpnet-base-v2|onnx/model.onnx|Sentence-transformers model for clustering or semantic search|768|512|mean|none
-text|BAAI/bge-small-zh-v1.5|Xenova/bge-small-zh-v1.5|onnx/model.onnx|v1.5 release of the small Chinese model|512|512|cls|none
-text|BAAI/bge-large-zh-v1.5|Xenova/bge-large-zh-v1.5|onnx/model.onnx|v1.5 release of the large Chinese model|1024|512|cls|none
-text|BAAI/bge-m3|BAAI/bge-m3|onnx/model.onnx|Multilingual M3, 8192 context, 100+ languages|1024|8192|cls|none
-text|lightonai/modernbert-embed-large|lightonai/modernbert-embed-large|onnx/model.onnx|Large model of ModernBert Text Embeddings|1024|8192|mean|none
-text|intfloat/multilingual-e5-small|intfloat/multilingual-e5-small|onnx/model.onnx|Small multilingual E5 Text Embeddings|384|512|mean|none
-text|intfloat/multilingual-e5-base|intfloat/multilingual-e5-base|onnx/model.onnx|Base multilingual E5 Text Embeddings|768|512|mean|none
-text|intfloat/multilingual-e5-large|Qdrant/multilingual-e5-large-onnx|model.onnx|Large multilingual E5 Text Embeddings|1024|512|mean|none
-text|mixedbread-ai/mxbai-embed-large-v1|mixedbread-ai/mxbai-embed-large-v1|onnx/model.onnx|Large English embedding model from MixedBread.ai|1024|512|cls|none
-text|mixedbread-ai/mxbai-embed-large-v1|mixedbread-ai/mxbai-embed-large-v1|onnx/model_quantized.onnx|Quantized large English model from MixedBread.ai|1024|512|cls|dynamic
-text|Alibaba-NLP/gte-base-en-v1.5|Alibaba-NLP/gte-base-en-v1.5|onnx/model.onnx|Base English embedding model from Alibaba|768|8192|cls|none
-text|Alibaba-NLP/gte-base-en-v1.5|Alibaba-NLP/gte-base-en-v1.5|onnx/model_quantized.onnx|Quantized base English model from Alibaba|768|8192|cls|dynamic
-text|Alibaba-NLP/gte-large-en-v1.5|Alibaba-NLP/gte-large-en-v1.5|onnx/model.onnx|Large English embedding model from Alibaba|1024|8192|cls|none
-text|Alibaba-NLP/gte-large-en-v1.5|Alibaba-NLP/gte-large-en-v1.5|onnx/model_quantized.onnx|Quantized large English model from Alibaba|1024|8192|cls|dynamic
-text|openai/clip-vit-base-patch32|Qdrant/clip-ViT-B-32-text|model.onnx|CLIP text encoder based on ViT-B/32|512|77|mean|none
-text|jinaai/jina-embeddings-v2-base-code|jinaai/jina-embeddings-v2-base-code|onnx/model.onnx|Jina embeddings v2 base code|768|8192|mean|none
-text|jinaai/jina-embeddings-v2-base-en|jinaai/jina-embeddings-v2-base-en|model.onnx|Jina embeddings v2 base English|768|8192|mean|none
-text|google/embeddinggemma-300m|onnx-community/embeddinggemma-300m-ONNX|onnx/model.onnx|EmbeddingGemma 300M parameter model from Google|768|2048|mean|none
-text|snowflake/snowflake-arctic-embed-xs|snowflake/snowflake-arctic-embed-xs|onnx/model.onnx|Snowflake Arctic embed model, xs|384|512|cls|none
-text|snowflake/snowflake-arctic-embed-xs|snowflake/snowflake-arctic-embed-xs|onnx/model_quantized.onnx|Quantized Snowflake Arctic embed, xs|384|512|cls|dynamic
-text|snowflake/snowflake-arctic-embed-s|snowflake/snowflake-arctic-embed-s|onnx/model.onnx|Snowflake Arctic embed model, small|384|512|cls|none
-text|snowflake/snowflake-arctic-embed-s|snowflake/snowflake-arctic-embed-s|onnx/model_quantized.onnx|Quantized Snowflake Arctic embed, small|384|512|cls|dynamic
-text|snowflake/snowflake-arctic-embed-m|Snowflake/snowflake-arctic-embed-m|onnx/model.onnx|Snowflake Arctic embed model, medium|768|512|cls|none
-text|snowflake/snowflake-arctic-embed-m|Snowflake/snowflake-arctic-embed-m|onnx/model_quantized.onnx|Quantized Snowflake Arctic embed, medium|768|512|cls|dynamic
-text|snowflake/snowflake-arctic-embed-m-long|snowflake/snowflake-arctic-embed-m-long|onnx/model.onnx|Snowflake Arctic embed, medium with 2048 context|768|2048|cls|none
-text|snowflake/snowflake-arctic-embed-m-long|snowflake/snowflake-arctic-embed-m-long|onnx/model_quantized.onnx|Quantized Snowflake Arctic embed, medium 2048 ctx|768|2048|cls|dynamic
-text|snowflake/snowflake-arctic-embed-l|snowflake/snowflake-arctic-embed-l|onnx/model.onnx|Snowflake Arctic embed model, large|1024|512|cls|none
-text|snowflake/snowflake-arctic-embed-l|snowflake/snowflake-arctic-embed-l|onnx/model_quantized.onnx|Quantized Snowflake Arctic embed, large|1024|512|cls|dynamic
-text|BAAI/bge-small-en-v1.5|onnx-community/bge-small-en-v1.5-ONNX|onnx/model_quantized.onnx|INT8 v1.5 fast and default English model (dynamic quantization)|384|512|cls|dynamic
-sparse|prithivida/Splade_PP_en_v1|Qdrant/Splade_PP_en_v1|model.onnx|SPLADE++ sparse vector model, v1|0|512||none
-sparse|BAAI/bge-m3|BAAI/bge-m3|onnx/model.onnx|BGE-M3 sparse embedding, 8192 context, 100+ languages|0|8192||none
-image|openai/clip-vit-base-patch32|Qdrant/clip-ViT-B-32-vision|model.onnx|CLIP vision encoder based on ViT-B/32|512|0||none
-image|microsoft/resnet-50|Qdrant/resnet50-onnx|model.onnx|ResNet-50 image embedding model|2048|0||none
-image|open-metric-learning/unicom-vit-b-16|Qdrant/Unicom-ViT-B-16|model.onnx|Unicom ViT-B-16 from open-metric-learning|768|0||none
-image|open-metric-learning/unicom-vit-b-32|Qdrant/Unicom-ViT-B-32|model.onnx|Unicom ViT-B-32 from open-metric-learning|512|0||none
-image|nomic-ai/nomic-embed-vision-v1.5|nomic-ai/nomic-embed-vision-v1.5|onnx/model.onnx|Nomic embed vision v1.5|768|0||none
-image|openai/clip-vit-base-patch32-quantized|Xenova/clip-vit-base-patch32|onnx/vision_model_int8.onnx|CLIP vision encoder INT8 quantized|512|0||static
-reranker|BAAI/bge-reranker-base|BAAI/bge-reranker-base|onnx/model.onnx|Reranker model for English and Chinese|0|512||none
-reranker|BAAI/bge-reranker-v2-m3|rozgo/bge-reranker-v2-m3|model.onnx|Multilingual reranker model|0|512||none
-reranker|jinaai/jina-reranker-v1-turbo-en|jinaai/jina-reranker-v1-turbo-en|onnx/model.onnx|Jina reranker v1 turbo English|0|8192||none
-reranker|jinaai/jina-reranker-v2-base-multilingual|jinaai/jina-reranker-v2-base-multilingual|onnx/model.onnx|Jina reranker v2 base multilingual|0|8192||none
-reranker|jinaai/jina-reranker-v1-turbo-en-quantized|jinaai/jina-reranker-v1-turbo-en|onnx/model_quantized.onnx|Jina reranker v1 turbo English (INT8 quantized)|0|8192||static
+text|sentence-transformers/all-MiniLM-L6-v2|Qdrant/all-MiniLM-L6-v2-onnx|model.onnx|384|512|mean|none
+text|sentence-transformers/all-MiniLM-L6-v2|Xenova/all-MiniLM-L6-v2|onnx/model_quantized.onnx|384|512|mean|dynamic
+text|sentence-transformers/all-MiniLM-L12-v2|Xenova/all-MiniLM-L12-v2|onnx/model.onnx|384|512|mean|none
+text|sentence-transformers/all-MiniLM-L12-v2|Xenova/all-MiniLM-L12-v2|onnx/model_quantized.onnx|384|512|mean|dynamic
+text|sentence-transformers/all-mpnet-base-v2|Xenova/all-mpnet-base-v2|onnx/model.onnx|768|512|mean|none
+text|BAAI/bge-base-en-v1.5|Xenova/bge-base-en-v1.5|onnx/model.onnx|768|512|cls|none
+text|BAAI/bge-base-en-v1.5|Qdrant/bge-base-en-v1.5-onnx-Q|model_optimized.onnx|768|512|cls|fp16
+text|BAAI/bge-large-en-v1.5|Xenova/bge-large-en-v1.5|onnx/model.onnx|1024|512|cls|none
+text|BAAI/bge-large-en-v1.5|Qdrant/bge-large-en-v1.5-onnx-Q|model_optimized.onnx|1024|512|cls|fp16
+text|BAAI/bge-small-en-v1.5|Xenova/bge-small-en-v1.5|onnx/model.onnx|384|512|cls|none
+text|BAAI/bge-small-en-v1.5|Qdrant/bge-small-en-v1.5-onnx-Q|model_optimized.onnx|384|512|cls|fp16
+text|nomic-ai/nomic-embed-text-v1|nomic-ai/nomic-embed-text-v1|onnx/model.onnx|768|8192|mean|none
+text|nomic-ai/nomic-embed-text-v1.5|nomic-ai/nomic-embed-text-v1.5|onnx/model.onnx|768|8192|mean|none
+text|nomic-ai/nomic-embed-text-v1.5|nomic-ai/nomic-embed-text-v1.5|onnx/model_quantized.onnx|768|8192|mean|dynamic
+text|sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2|Xenova/paraphrase-multilingual-MiniLM-L12-v2|onnx/model.onnx|384|512|mean|none
+text|sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2|Qdrant/paraphrase-multilingual-MiniLM-L12-v2-onnx-Q|model_optimized.onnx|384|512|mean|fp16
+text|sentence-transformers/paraphrase-multilingual-mpnet-base-v2|Xenova/paraphrase-multilingual-mpnet-base-v2|onnx/model.onnx|768|512|mean|none
+text|BAAI/bge-small-zh-v1.5|Xenova/bge-small-zh-v1.5|onnx/model.onnx|512|512|cls|none
+text|BAAI/bge-large-zh-v1.5|Xenova/bge-large-zh-v1.5|onnx/model.onnx|1024|512|cls|none
+text|BAAI/bge-m3|BAAI/bge-m3|onnx/model.onnx|1024|8192|cls|none
+text|lightonai/modernbert-embed-large|lightonai/modernbert-embed-large|onnx/model.onnx|1024|8192|mean|none
+text|intfloat/multilingual-e5-small|intfloat/multilingual-e5-small|onnx/model.onnx|384|512|mean|none
+text|intfloat/multilingual-e5-base|intfloat/multilingual-e5-base|onnx/model.onnx|768|512|mean|none
+text|intfloat/multilingual-e5-large|Qdrant/multilingual-e5-large-onnx|model.onnx|1024|512|mean|none
+text|mixedbread-ai/mxbai-embed-large-v1|mixedbread-ai/mxbai-embed-large-v1|onnx/model.onnx|1024|512|cls|none
+text|mixedbread-ai/mxbai-embed-large-v1|mixedbread-ai/mxbai-embed-large-v1|onnx/model_quantized.onnx|1024|512|cls|dynamic
+text|Alibaba-NLP/gte-base-en-v1.5|Alibaba-NLP/gte-base-en-v1.5|onnx/model.onnx|768|8192|cls|none
+text|Alibaba-NLP/gte-base-en-v1.5|Alibaba-NLP/gte-base-en-v1.5|onnx/model_quantized.onnx|768|8192|cls|dynamic
+text|Alibaba-NLP/gte-large-en-v1.5|Alibaba-NLP/gte-large-en-v1.5|onnx/model.onnx|1024|8192|cls|none
+text|Alibaba-NLP/gte-large-en-v1.5|Alibaba-NLP/gte-large-en-v1.5|onnx/model_quantized.onnx|1024|8192|cls|dynamic
+text|openai/clip-vit-base-patch32|Qdrant/clip-ViT-B-32-text|model.onnx|512|77|mean|none
+text|jinaai/jina-embeddings-v2-base-code|jinaai/jina-embeddings-v2-base-code|onnx/model.onnx|768|8192|mean|none
+text|jinaai/jina-embeddings-v2-base-en|jinaai/jina-embeddings-v2-base-en|model.onnx|768|8192|mean|none
+text|google/embeddinggemma-300m|onnx-community/embeddinggemma-300m-ONNX|onnx/model.onnx|768|2048|mean|none
+text|snowflake/snowflake-arctic-embed-xs|snowflake/snowflake-arctic-embed-xs|onnx/model.onnx|384|512|cls|none
+text|snowflake/snowflake-arctic-embed-xs|snowflake/snowflake-arctic-embed-xs|onnx/model_quantized.onnx|384|512|cls|dynamic
+text|snowflake/snowflake-arctic-embed-s|snowflake/snowflake-arctic-embed-s|onnx/model.onnx|384|512|cls|none
+text|snowflake/snowflake-arctic-embed-s|snowflake/snowflake-arctic-embed-s|onnx/model_quantized.onnx|384|512|cls|dynamic
+text|snowflake/snowflake-arctic-embed-m|Snowflake/snowflake-arctic-embed-m|onnx/model.onnx|768|512|cls|none
+text|snowflake/snowflake-arctic-embed-m|Snowflake/snowflake-arctic-embed-m|onnx/model_quantized.onnx|768|512|cls|dynamic
+text|snowflake/snowflake-arctic-embed-m-long|snowflake/snowflake-arctic-embed-m-long|onnx/model.onnx|768|2048|cls|none
+text|snowflake/snowflake-arctic-embed-m-long|snowflake/snowflake-arctic-embed-m-long|onnx/model_quantized.onnx|768|2048|cls|dynamic
+text|snowflake/snowflake-arctic-embed-l|snowflake/snowflake-arctic-embed-l|onnx/model.onnx|1024|512|cls|none
+text|snowflake/snowflake-arctic-embed-l|snowflake/snowflake-arctic-embed-l|onnx/model_quantized.onnx|1024|512|cls|dynamic
+text|BAAI/bge-small-en-v1.5|onnx-community/bge-small-en-v1.5-ONNX|onnx/model_quantized.onnx|384|512|cls|dynamic
+sparse|prithivida/Splade_PP_en_v1|Qdrant/Splade_PP_en_v1|model.onnx|0|512||none
+sparse|BAAI/bge-m3|BAAI/bge-m3|onnx/model.onnx|0|8192||none
+image|openai/clip-vit-base-patch32|Qdrant/clip-ViT-B-32-vision|model.onnx|512|0||none
+image|microsoft/resnet-50|Qdrant/resnet50-onnx|model.onnx|2048|0||none
+image|open-metric-learning/unicom-vit-b-16|Qdrant/Unicom-ViT-B-16|model.onnx|768|0||none
+image|open-metric-learning/unicom-vit-b-32|Qdrant/Unicom-ViT-B-32|model.onnx|512|0||none
+image|nomic-ai/nomic-embed-vision-v1.5|nomic-ai/nomic-embed-vision-v1.5|onnx/model.onnx|768|0||none
+image|openai/clip-vit-base-patch32-quantized|Xenova/clip-vit-base-patch32|onnx/vision_model_int8.onnx|512|0||static
+reranker|BAAI/bge-reranker-base|BAAI/bge-reranker-base|onnx/model.onnx|0|512||none
+reranker|BAAI/bge-reranker-v2-m3|rozgo/bge-reranker-v2-m3|model.onnx|0|512||none
+reranker|jinaai/jina-reranker-v1-turbo-en|jinaai/jina-reranker-v1-turbo-en|onnx/model.onnx|0|8192||none
+reranker|jinaai/jina-reranker-v2-base-multilingual|jinaai/jina-reranker-v2-base-multilingual|onnx/model.onnx|0|8192||none
+reranker|jinaai/jina-reranker-v1-turbo-en-quantized|jinaai/jina-reranker-v1-turbo-en|onnx/model_quantized.onnx|0|8192||static
 """
 
 # code|file|download size in MB.
@@ -186,7 +186,10 @@ def _frame(spark: SparkSession, text: str, schema: str) -> DataFrame:
 
 
 def models(spark: SparkSession) -> DataFrame:
-    return _frame(spark, MODELS, "kind string, name string, code string, file string, description string, dim int, max_tokens int, pooling string, quantization string")
+    """All rows in registry order, each with a description made from what they say."""
+    rows = _frame(spark, MODELS, "kind string, name string, code string, file string, dim int, max_tokens int, pooling string, quantization string")
+    said = F.concat(F.col("kind"), F.lit(" model of dimension "), F.col("dim"), F.lit(", up to "), F.col("max_tokens"), F.lit(" tokens, "), F.col("pooling"), F.lit(" pooling, quantization: "), F.col("quantization"))
+    return rows.withColumn("description", said)
 
 
 def sizes(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# One text a line. Runs of one word, as "word*64", stand for that many of them.
+# One text a line.
 SHORT = """
 Hello world.
 Bonjour le monde.
@@ -62,7 +62,7 @@ Assalamu alaikum.
 Le traitement automatique du langage naturel est un domaine de l'IA.
 """
 
-EDGE = """
+EDGE = f"""
 
 a
    
@@ -71,14 +71,14 @@ a
 Hello world world world
 Hello world CJK mixed
 Hello RTL world
-test*16
+{" ".join(["test"] * 16)}
 def foo(): return 42
-{"key": "value"}
+{{"key": "value"}}
 user@example.com
 <div>Hello</div>
-word*16
-word*142
-word*181
+{" ".join(["word"] * 16)}
+{" ".join(["word"] * 142)}
+{" ".join(["word"] * 181)}
 cafe resume naive
 +++++
 $$$
@@ -113,11 +113,7 @@ CATEGORIES = {"short": SHORT, "medium": MEDIUM, "long": LONG, "very_long": VERY_
 
 
 def _texts(table: str) -> list[str]:
-    out = []
-    for line in table[1:-1].split("\n"):
-        word, star, n = line.partition("*")
-        out.append(" ".join([word] * int(n)) if star and n.isdigit() else line)
-    return out
+    return table[1:-1].split("\n")
 
 
 def rows() -> list[tuple[str, int, str]]:

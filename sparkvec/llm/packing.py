@@ -6,9 +6,7 @@ of lengths, whole runs of equal pieces at a time, and yields a plan of a few tho
 corpus. The r-th piece of its length, by order in the tokenised table, finds its window in the plan by binary search. So packing is global and exact, while no task sees more than its partition.
 
 Ids are those of the tokenizer file, found by another library through ranks of the same vocabulary, which lie beside it;
-that both agree rests on tests. Chunks between single spaces encode independently of each other, so each is encoded once and
-kept as bytes in a bounded cache; texts with other white space around spaces, or with the text of a special token, are encoded
-whole, the latter by the tokenizer file itself.
+that both agree rests on tests. Texts that hold a special token's text are encoded by the tokenizer file itself.
 
 Defined results: null text is empty and gives one piece, the end id; repeated rows are packed each for itself; an empty
 table gives no rows; further columns are ignored.
@@ -18,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,6 @@ from sparkvec.llm.common import cut, few, table
 
 WINDOW = 2048
 END_ID = 1
-#: Chunks whose ids a worker keeps, at most.
-CACHE = 250_000
 #: Counts of lengths by partition that are broadcast, at most; more are joined.
 MAX_BROADCAST = 1_000_000
 
@@ -119,7 +117,7 @@ def plan_windows(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
@@ -129,29 +127,14 @@ class Encoder:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.encode = lambda text: np.array(encode(text), dtype="<u4").tobytes()
-
-        class Cache(dict):
-            def __missing__(own, chunk: str) -> bytes:
-                if len(own) >= cache:
-                    own.clear()
-                ids = self.encode(" " + chunk)
-                if len(chunk) <= 64:
-                    own[chunk] = ids
-                return ids
-
-        self.cache = Cache()
+        self.encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = text.split(" ")
-        if len(chunks) < 2:
-            return self.encode(text)
-        if not all(chunks) or any(c[0].isspace() or c[-1].isspace() for c in chunks if not (c[0].isalnum() and c[-1].isalnum())):
-            return self.encode(text)
-        return self.encode(chunks[0]) + b"".join(map(self.cache.__getitem__, chunks[1:]))
+        special = any(s in text for s in self.special)
+        ids = array("I", self.whole.encode(text, add_special_tokens=False).ids if special else self.encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

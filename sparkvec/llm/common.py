@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvec.storage import cut
+from sparkvec.storage import cut, spread
 
 __all__ = ["SPACE", "SPACE_CLASS", "cut", "few", "labelled_sample", "let", "remainder", "table"]
 
@@ -16,8 +16,13 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Tables of texts, which are work for more than one task even when they are small.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

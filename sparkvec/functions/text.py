@@ -18,9 +18,12 @@ REMOVED = (
 IDEOGRAPH = r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{2B920}-\x{2CEAF}\x{2F800}-\x{2FA1F}])"
 #: Basic tokens of ASCII text: every punctuation mark, and runs of the rest.
 BASIC_ASCII = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
-BASIC = r"[!-/:-@\[-`{-~\p{P}]|[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}!-/:-@\[-`{-~\p{P}]+"
+#: The same for the JVM, whose named class of ASCII punctuation is several times as fast as the union of its ranges.
+BASIC_ASCII_JVM = r"\p{Punct}|[^\s\p{Punct}]+"
+BASIC = r"[\p{Punct}\p{P}]|[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{Punct}\p{P}]+"
 #: Tokens of the older byte-pair models: punctuation marks, single characters beyond ASCII, runs of the rest.
 LEGACY = r"[!-/:-@\[-`{-~]|[^\x{0}-\x{7F}]|[0-9A-Za-z\x{7F}]+"
+LEGACY_JVM = r"\p{Punct}|\P{ASCII}|[\p{Alnum}\x{7F}]+"
 META = "▁"
 
 
@@ -49,13 +52,13 @@ def isolate_ideographs(text: Column | str) -> Column:
 def basic_tokenize(text: Column | str, ascii_only: bool = False) -> Column:
     """Words and punctuation marks of a cleaned, lower-cased text."""
     whole = clean_text(text) if ascii_only else isolate_ideographs(clean_text(text))
-    return F.regexp_extract_all(F.lower(whole), F.lit(BASIC_ASCII if ascii_only else BASIC), F.lit(0))
+    return F.regexp_extract_all(F.lower(whole), F.lit(BASIC_ASCII_JVM if ascii_only else BASIC), F.lit(0))
 
 
 def legacy_tokenize(text: Column | str) -> Column:
     """Words of the older byte-pair models, after their folding of case and Latin-1 accents."""
     folded = F.translate(text, UPPER + FOLD_FROM, LOWER + FOLD_TO)
-    return F.regexp_extract_all(folded, F.lit(LEGACY), F.lit(0))
+    return F.regexp_extract_all(folded, F.lit(LEGACY_JVM), F.lit(0))
 
 
 def metaspace(text: Column | str, prepend: bool = True) -> Column:

@@ -12,6 +12,7 @@ from sparkvec.operators import batching, cache, metrics, retrieve, sparse, tunin
 from sparkvec.plans import registry, resolve
 from sparkvec.plans.providers import HashingProvider, embed
 from sparkvec.sources import corpora
+from sparkvec.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,8 +31,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+#: Tables of texts, which are work for more than one task even when they are small.
+TEXTS = ("documents", "conversations")
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 # Dense vectors
@@ -183,7 +189,7 @@ _PRUNED = f"SELECT id, term, weight FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(text.BASIC_ASCII), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(text.BASIC_ASCII_JVM), F.lit(0))
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("w"))
 
 
@@ -460,7 +466,7 @@ _RERANK = f"SELECT query_id, doc_index, score, row_number() OVER (PARTITION BY q
 
 def _rerank_pairs(spark: SparkSession, sf: str) -> DataFrame:
     items, docs = read(spark, sf, "benchmark").where("text is not null"), read(spark, sf, "documents")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII_JVM), F.lit(0))
     queries = sparse.counted_rows(items.select(F.col("item_id").alias("id"), words.alias("w")), "w")
     found = retrieve.sparse_search(queries, sparse.counted_rows(_tokens(spark, sf), "w"), 10).where("score > 0")
     top = found.select(F.col("q").alias("query_id"), F.col("d").alias("doc_index"))
@@ -565,7 +571,7 @@ for _strategy, (_ka, _kb) in _KEPT.items():
 
 
 def _pairs(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
-    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(text.BASIC_ASCII), F.lit(0)), F.length)
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(text.BASIC_ASCII_JVM), F.lit(0)), F.length)
     turns = read(spark, sf, "conversations").select("conv_id", "turn", words.alias("x"))
     rows = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
     ids, types = text.encode_pair("x", "y", 101, 102, 64, strategy)
@@ -643,7 +649,7 @@ _N = f"SELECT doc_id AS id, text, md5(coalesce(text, '')) AS digest, coalesce(le
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with their texts, as a user's batches carry them."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(text.BASIC_ASCII_JVM), F.lit(0))
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce(F.size(words), F.lit(0)).alias("n"))
 
 

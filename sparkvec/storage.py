@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table's scan, dealt anew if it has fewer partitions than the session has cores, as that of a small file has, which may
+    be one row group and so one task. A table of more splits, as any large one has, stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, on whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,9 +7,8 @@ good). The target is interpolated with the raw one, so a document's score is the
 however often it is repeated and whatever the size of the corpus. Equal texts that hold over ``HOT_SHARE`` of all rows, so at most
 its inverse of them, weigh as much as one of them: a text does not become worse by being copied.
 
-The threshold follows the corpus: a bounded sample of trusted documents is scored with their own counts taken out
-of the target, as if they were not trusted, and a document goes if it scores over ``SPREAD`` standard deviations below
-their mean. Everything is built-in expressions: the counts are one partial aggregation, the weights
+The threshold follows the corpus: every trusted document is scored with its own counts taken out of the target, as if
+it were not trusted, and a document goes if it scores over ``SPREAD`` standard deviations below their mean. Everything is built-in expressions: the counts are one partial aggregation, the weights
 reach the scan as a scalar subquery, and scoring moves no text between executors. Buckets grow as the cube root of
 the corpus, from 2^15 up: 2^22 of them, 32 MB, at 100 TB.
 
@@ -24,10 +23,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import SPACE, SPACE_CLASS, cut, labelled_sample, let, table
+from sparkvec.llm.common import SPACE, SPACE_CLASS, cut, few, let, table
 
 #: Buckets of n-gram hashes, at least (a power of two), and how many there are for each cube root of a byte of text.
 BUCKETS = 1 << 15
@@ -36,8 +34,7 @@ GROWTH = 48
 ENDING = 3
 #: Share of the target in its interpolation with the raw corpus.
 MIX = 0.8
-#: Trusted documents whose scores set the threshold, at most, and how many standard deviations below their mean it lies.
-SAMPLE_ROWS = 2000
+#: How many standard deviations below the mean of the trusted documents' scores the threshold lies.
 SPREAD = 3.5
 #: Share of all rows over which equal texts count as one; beneath it their weight hardly moves the raw multinomial.
 HOT_SHARE = 1 / 1000
@@ -119,11 +116,14 @@ def weighted(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("_weight", F.lit(1.0)).alias("weight"))
 
 
+def _marks(trusted: DataFrame, max_broadcast: int) -> DataFrame:
+    """(doc_id) of the trusted documents, marked for a broadcast if they are not too many."""
+    return few(trusted.select("doc_id").where("doc_id is not null").distinct(), max_broadcast)
+
+
 def gram_counts(rows: DataFrame, trusted: DataFrame, buckets: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(bucket, raw, target): weighted occurrences in all ``rows`` (doc_id, text, weight) and in the ``trusted`` ones (doc_id)."""
-    marked = trusted.select("doc_id", F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
-    if marked.limit(max_broadcast + 1).count() <= max_broadcast:
-        marked = F.broadcast(marked)
+    marked = _marks(trusted.select("doc_id"), max_broadcast).withColumn("trusted", F.lit(True))
     grams = rows.join(marked, "doc_id", "left").select("trusted", "weight", F.explode(gram_hashes(F.col("text"))).alias("h"))
     target = F.sum(F.when(F.col("trusted"), F.col("weight")).otherwise(0.0))
     return grams.groupBy(_bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.sum("weight").alias("raw"), target.alias("target"))
@@ -147,21 +147,27 @@ def likelihood_ratios(counts: DataFrame, buckets: int) -> DataFrame:
     return listed.select(F.transform(F.array_sort(every), lambda x: x["r"]).alias("ratios"))
 
 
-def trusted_scores(rows: DataFrame, counts: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, llr) of the documents of a bounded ``sample`` of the trusted ones, each without its own counts in the target."""
-    grams = rows.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "weight", F.explode(gram_hashes(F.col("text"))).alias("h"))
-    own = grams.groupBy("doc_id", _bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.count("*").alias("c"), F.sum("weight").alias("own"))
-    own = own.join(counts, "bucket").withColumn("all", F.sum("own").over(W.partitionBy("doc_id")))
-    total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def trusted_scores(rows: DataFrame, counts: DataFrame, trusted: DataFrame, buckets: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, llr) of the ``trusted`` documents that have words, each without its own counts in the target; the rows of a
+    repeated doc_id are counted together. Their texts are dealt by doc_id once, and n-grams are counted where they are."""
+    own = rows.join(_marks(trusted, max_broadcast), "doc_id").select("doc_id", "weight", "text")
+    repeated = cut(rows.select("doc_id").join(_marks(trusted, max_broadcast), "doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    size = lambda h: F.col("weight") * F.size(h)
+    summed = own.join(few(repeated, max_broadcast), "doc_id").groupBy("doc_id").agg(F.sum(size(gram_hashes(F.col("text")))).alias("_all"))
+    dealt = own.repartition("doc_id").select("doc_id", "weight", gram_hashes(F.col("text")).alias("h"))
+    dealt = dealt.select("doc_id", "weight", size("h").alias("all"), "h").join(few(cut(summed), max_broadcast), "doc_id", "left")
+    grams = dealt.select("doc_id", "weight", F.coalesce("_all", "all").alias("all"), F.explode("h").alias("h"))
+    each = grams.groupBy("doc_id", _bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.count("*").alias("c"), F.sum("weight").alias("own"), F.max("all").alias("all"))
+    total = cut(counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     rest = total.select("target").scalar() - F.col("all")
     ratio = _ratio(F.greatest(F.col("target") - F.col("own"), F.lit(0.0)), rest, F.col("raw"), total.select("raw").scalar())
-    return own.where(rest > 1e-6).groupBy("doc_id").agg((F.sum(F.col("c") * ratio) / F.sum("c")).alias("llr"))
+    known = each.join(F.broadcast(counts), "bucket")  # as many rows as buckets
+    return known.where(rest > 1e-6).groupBy("doc_id").agg((F.sum(F.col("c") * ratio) / F.sum("c")).alias("llr"))
 
 
-def learned_threshold(rows: DataFrame, counts: DataFrame, trusted: DataFrame, buckets: int, most: int = SAMPLE_ROWS) -> DataFrame:
-    """One row: the mean of the trusted documents' scores less ``SPREAD`` standard deviations, null for fewer than two."""
-    sample = labelled_sample(trusted, rows, F.lit(True), [], most, "threshold")
-    return trusted_scores(rows, counts, sample, buckets).agg((F.avg("llr") - SPREAD * F.stddev("llr") - 1e-9).alias("threshold"))
+def learned_threshold(rows: DataFrame, counts: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """One row: the mean of all trusted documents' scores less ``SPREAD`` standard deviations, null for fewer than two."""
+    return trusted_scores(rows, counts, trusted, buckets).agg((F.avg("llr") - SPREAD * F.stddev("llr") - 1e-9).alias("threshold"))
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:

@@ -429,6 +429,33 @@ def grams_by_hand(t):
     return [(x,) for x in w] + [(3, x[-3:]) for x in w] + list(zip(w, w[1:], strict=False))
 
 
+def test_threshold_is_of_all_trusted_documents(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(words, 3 + i % 5))) for i in range(2300)] + [(7, "w1 w2 w2 w3"), (8, None), (2300, ""), (None, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = 256
+    weighted = quality_rules.weighted(df, quality_rules.text_groups(df))
+    ids = df.select("doc_id").distinct()
+    counts = quality_rules.gram_counts(weighted, ids, n).cache()
+    scores = {r["doc_id"]: r["llr"] for r in quality_rules.trusted_scores(weighted, counts, ids, n).collect()}
+    assert sorted(scores) == list(range(2300))
+    least = quality_rules.learned_threshold(weighted, counts, ids, n).first()[0]
+    assert least == pytest.approx(np.mean(list(scores.values())) - quality_rules.SPREAD * np.std(list(scores.values()), ddof=1))
+    joined = {r["doc_id"]: r["llr"] for r in quality_rules.trusted_scores(weighted, counts, ids, n, max_broadcast=0).collect()}
+    assert joined == pytest.approx(scores)
+    # By hand: a repeated id's rows are counted together, any other row by itself.
+    grams = weighted.select("doc_id", "weight", F.explode(quality_rules.gram_hashes(F.col("text"))).alias("h")).where("doc_id in (7, 11)")
+    own = grams.groupBy("doc_id", F.pmod("h", F.lit(n)).alias("bucket")).agg(F.count("*").alias("c"), F.sum("weight").alias("own")).collect()
+    table = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}
+    raw, target = (sum(x[k] for x in table.values()) for k in (0, 1))
+    for i in (7, 11):
+        mine = [r for r in own if r["doc_id"] == i]
+        rest = target - sum(r["own"] for r in mine)
+        log = [r["c"] * np.log(quality_rules.MIX * ((table[r["bucket"]][1] - r["own"]) / rest) / (table[r["bucket"]][0] / raw) + 1 - quality_rules.MIX) for r in mine]
+        assert scores[i] == pytest.approx(sum(log) / sum(r["c"] for r in mine))
+
+
 def test_ratio_by_hand(spark):
     texts = {1: "good clean words " * 3, 2: "spam | spam | spam |", 3: "good words", 4: "clean and good words of trust", 5: None, 6: "good words", 7: "good words"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

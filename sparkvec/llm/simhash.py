@@ -46,9 +46,12 @@ SIMILARITY = 0.8
 #: Min-hashes are grouped in bands; a pair at 0.8 shares no band in 0.02 % of cases, one at 0.85 in 0.001 %.
 BANDS = 16
 BAND_ROWS = 4
-#: Distinct texts of a band's bucket of which all pairs are compared; in a larger one each is compared with ``HUBS`` of them.
+#: Distinct texts of a band's bucket of which all pairs are compared; in a larger one each is compared with ``HUBS`` of them, and
+#: what these leave apart meets by its rarest shingles.
 ALL_PAIRS = 64
 HUBS = 4
+#: Counters of the shingles of large buckets, by hash (a power of two); they only order shingles.
+COUNTERS = 1 << 18
 #: Hashes that are broadcast, at most, 16 bytes each; more are joined.
 MAX_BROADCAST = 1_000_000
 
@@ -286,12 +289,68 @@ def _verify_batches(width: int, similarity: float):
     return run
 
 
+def _count_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                own = np.unique(np.array(shingle_hashes(text.as_py() or b"", width), dtype=np.uint64))
+                np.add.at(counts, own & np.uint64(COUNTERS - 1), 1)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(counts[at])], names=["at", "n"])
+
+    return run
+
+
+def _prefix_batches(width: int, similarity: float, sent):
+    """The rarest shingles of each text, so many that two texts of the similarity share one, with their places in that order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            prefixes = []
+            for text in batch.column(1).cast(pa.binary()):
+                own = np.unique(np.array(shingle_hashes(text.as_py() or b"", width), dtype=np.uint64))
+                ranked = own[np.lexsort((own, counts[own & np.uint64(COUNTERS - 1)]))]
+                prefixes.append(ranked[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64))
+            yield pa.record_batch([batch.column(0), pa.array(prefixes, pa.list_(pa.int64()))], names=["fp", "prefix"])
+
+    return run
+
+
+def _apart(members: DataFrame, texts: DataFrame, links: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b): all pairs of ``members`` (fp, size) that may have the similarity and that ``links`` (a, b) do not connect already.
+
+    Texts of the similarity share one of their rarest shingles, in any one order of all. Those whose texts are all connected make no pairs,
+    so a group of near copies costs its size; pairs are told apart by sizes and by what can still follow the shared shingle."""
+    spark = members.sparkSession
+    among = links.join(members.select(F.col("fp").alias("a")), "a", "left_semi").join(members.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+    roots = connected_components(among)
+    grouped = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root"))
+    own = texts.join(members.select("fp"), "fp", "left_semi").select("fp", "text")
+    found = own.select("text").mapInArrow(_count_batches(width), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for r in found:
+        counts[r["at"]] = r["n"]
+    sent = spark.sparkContext.broadcast(counts)
+    prefixes = own.mapInArrow(_prefix_batches(width, similarity, sent), "fp long, prefix array<long>")
+    entries = cut(prefixes.join(grouped, "fp").select("fp", "size", "root", F.posexplode("prefix").alias("pos", "token")))
+    mixed = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    lists = cut(entries.join(mixed, "token").groupBy("token", "root").agg(F.collect_list(F.struct("fp", "size", "pos")).alias("s")))
+    left, right = lists.select("token", F.col("root").alias("ra"), F.col("s").alias("sa")), lists.select("token", F.col("root").alias("rb"), F.col("s").alias("sb"))
+    met = left.join(right, "token").where("ra < rb").select(F.explode("sa").alias("x"), "sb").select("x", F.explode("sb").alias("y"))
+    close = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
+    left_over = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    enough = left_over >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    return met.where(close & enough).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+
+
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, all_pairs: int = ALL_PAIRS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(a, b) links between texts (fp, text) whose shingle sets have the Jaccard similarity or more, all of them verified.
 
-    Candidates share a band of min-hashes. A bucket's pairs are all compared up to ``all_pairs`` texts; in a larger one
-    each text is compared with ``HUBS`` texts, others in each bucket, so that work is linear in the bucket's size. Only texts of
-    candidate pairs are shuffled.
+    Candidates share a band of min-hashes. A bucket's pairs are all compared up to ``all_pairs`` texts. In a larger one
+    each text is compared with ``HUBS`` texts, others in each bucket; whatever these links do not connect is then joined exactly
+    (:func:`_apart`), so the components are those of all pairs. Only texts of candidate pairs and of large buckets are shuffled.
     """
     banded = cut(texts.mapInArrow(_band_batches(width), "fp long, size int, keys array<long>").dropDuplicates(["fp"]))
     keys = banded.select(F.struct("fp", "size").alias("s"), F.explode("keys").alias("key"))
@@ -304,17 +363,27 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int =
         .select(F.posexplode("all").alias("i", "a"), "all")
         .select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(all_pairs))).alias("b"))
     )
-    large = keys.join(buckets.where(F.col("n") > all_pairs), "key").select(F.explode("hubs").alias("a"), F.col("s").alias("b"))
+    crowded = buckets.where(F.col("n") > all_pairs)
+    large = keys.join(crowded, "key").select(F.explode("hubs").alias("a"), F.col("s").alias("b"))
     close = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")
     pairs = cut(small.union(large).where((F.col("a.fp") != F.col("b.fp")) & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    members = None if crowded.isEmpty() else cut(keys.join(crowded.select("key"), "key").select("s.fp", "s.size").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    wanted = cut((wanted if members is None else wanted.union(members.select("fp"))).distinct())
     found = cut(texts.join(few(wanted, max_broadcast), "fp", "left_semi").dropDuplicates(["fp"]))
-    return (
-        pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(found.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verify_batches(width, similarity), "a long, b long")
-    )
+
+    def verified(some: DataFrame) -> DataFrame:
+        return (
+            some.join(found.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(found.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+            .select("a", "b", "text_a", "text_b")
+            .mapInArrow(_verify_batches(width, similarity), "a long, b long")
+        )
+
+    if members is None:
+        return verified(pairs)
+    links = cut(verified(pairs))
+    return links.union(verified(cut(_apart(members, found, links, similarity, width))))
 
 
 def _text_hash() -> tuple:

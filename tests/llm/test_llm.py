@@ -863,6 +863,24 @@ def test_stage_finds_copies_at_its_similarity(spark, all_pairs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if first[1].get(i, i) == i]
 
 
+def test_large_buckets_lose_no_near_copy(spark):
+    """Texts that share two thirds fill large buckets, in which most near copies meet no hub."""
+    rng = np.random.default_rng(12)
+    shared, texts = [f"s{i}" for i in range(160)], []
+    for k in range(150):
+        words = [f"own{k}x{i}" for i in range(60)]
+        texts.append(shared + words)
+        other = shared + words
+        for at in rng.choice(range(165, 220), 3 + k % 2, replace=False):
+            other[at] = f"edit{k}x{at}"
+        texts.append(other)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    close = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(close) >= 140 and all(i // 2 == j // 2 for i, j in close)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "fp long, text string")
+    assert {(r["a"], r["b"]) for r in simhash.similar_links(df, all_pairs=8).collect()} == close
+
+
 def test_rows_are_kept_by_their_own_text(spark):
     long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(1, long), (2, long), (2, other), (3, long + " x"), (None, long), (4, other), (4, "unlike all else"), (5, None), (6, " "), (1, long)]

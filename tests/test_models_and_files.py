@@ -330,6 +330,14 @@ def test_all_pairs_of_any_table(spark):
         assert all(r["a"] == own[r["i"]] and r["b"] == own[r["j"]] for r in got)
 
 
+def test_all_pairs_are_scored_as_matrices(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=5).tolist() if i else [0.0] * 5) for i in rng.permutation(50)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    ways = [sorted(map(tuple, retrieve.pair_cosines(df, b).collect())) for b in (1 << 20, 100)]
+    assert len(ways[0]) == 50 * 49 // 2 and ways[0] == ways[1]
+
+
 def test_sparse_search_reads_texts_once_for_many_queries(spark):
     """Queries of 64 MB of postings are one block, where their matrix over all terms would be many; norms and ties by brute force."""
     rng = np.random.default_rng(5)

@@ -43,7 +43,7 @@ MAX_BROADCAST = 1_000_000
 MIN_WORDS = 50
 #: Repeated windows of a text that are searched one by one.
 FEW = 16
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -97,6 +97,21 @@ def gram_hashes(text: Column) -> Column:
     return let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(h, F.transform(w, _ending), _neighbours(h))))
 
 
+def _n_grams(words: Column) -> Column:
+    """How many n-grams a text of these words has."""
+    return F.greatest(3 * F.size(words) - 1, F.lit(0))
+
+
+def _grams(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, h): each of the :func:`gram_hashes` of ``rows`` (columns, words) in a row of its own. Generators are compiled, where
+    functions of arrays are interpreted for each word. They take an expression: of a bare column Spark would infer a filter, which
+    counts the n-grams once more, and before any join."""
+    following = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    words = rows.select(*columns, F.explode(F.arrays_zip(F.col("words").alias("word"), following.alias("next"))).alias("_w")).select(*columns, "_w.word", "_w.next")
+    pair = F.when(F.col("next").isNotNull(), F.xxhash64(F.xxhash64("word"), F.xxhash64("next")))
+    return words.select(*columns, F.explode(F.array(F.xxhash64("word"), _ending(F.col("word")), pair)).alias("h")).where("h is not null")
+
+
 def text_groups(docs: DataFrame) -> DataFrame:
     """(text, n, size): a hash of each distinct text with the rows that hold it and its bytes."""
     return docs.select(F.xxhash64("text").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).groupBy("text").agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size"))
@@ -124,7 +139,7 @@ def _marks(trusted: DataFrame, max_broadcast: int) -> DataFrame:
 def gram_counts(rows: DataFrame, trusted: DataFrame, buckets: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(bucket, raw, target): weighted occurrences in all ``rows`` (doc_id, text, weight) and in the ``trusted`` ones (doc_id)."""
     marked = _marks(trusted.select("doc_id"), max_broadcast).withColumn("trusted", F.lit(True))
-    grams = rows.join(marked, "doc_id", "left").select("trusted", "weight", F.explode(gram_hashes(F.col("text"))).alias("h"))
+    grams = _grams(rows.join(marked, "doc_id", "left").select("trusted", "weight", words_of(F.col("text")).alias("words")), "trusted", "weight")
     target = F.sum(F.when(F.col("trusted"), F.col("weight")).otherwise(0.0))
     return grams.groupBy(_bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.sum("weight").alias("raw"), target.alias("target"))
 
@@ -152,11 +167,11 @@ def trusted_scores(rows: DataFrame, counts: DataFrame, trusted: DataFrame, bucke
     repeated doc_id are counted together. Their texts are dealt by doc_id once, and n-grams are counted where they are."""
     own = rows.join(_marks(trusted, max_broadcast), "doc_id").select("doc_id", "weight", "text")
     repeated = cut(rows.select("doc_id").join(_marks(trusted, max_broadcast), "doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    size = lambda h: F.col("weight") * F.size(h)
-    summed = own.join(few(repeated, max_broadcast), "doc_id").groupBy("doc_id").agg(F.sum(size(gram_hashes(F.col("text")))).alias("_all"))
-    dealt = own.repartition("doc_id").select("doc_id", "weight", gram_hashes(F.col("text")).alias("h"))
-    dealt = dealt.select("doc_id", "weight", size("h").alias("all"), "h").join(few(cut(summed), max_broadcast), "doc_id", "left")
-    grams = dealt.select("doc_id", "weight", F.coalesce("_all", "all").alias("all"), F.explode("h").alias("h"))
+    size = lambda words: F.col("weight") * _n_grams(words)
+    summed = own.join(few(repeated, max_broadcast), "doc_id").groupBy("doc_id").agg(F.sum(size(words_of(F.col("text")))).alias("_all"))
+    dealt = own.repartition("doc_id").select("doc_id", "weight", words_of(F.col("text")).alias("words"))
+    dealt = dealt.select("doc_id", "weight", size("words").alias("all"), "words").join(few(cut(summed), max_broadcast), "doc_id", "left")
+    grams = _grams(dealt.select("doc_id", "weight", F.coalesce("_all", "all").alias("all"), "words"), "doc_id", "weight", "all")
     each = grams.groupBy("doc_id", _bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.count("*").alias("c"), F.sum("weight").alias("own"), F.max("all").alias("all"))
     total = cut(counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     rest = total.select("target").scalar() - F.col("all")
@@ -182,10 +197,10 @@ def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float | None
     least = F.lit(threshold) if threshold is not None else cut(learned_threshold(rows, counts, trusted, buckets)).scalar()
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def measured(w: Column) -> Column:
+    def measured(w: Column, r: Column) -> Column:
         def counted(h: Column, pairs: Column) -> Column:
             def total(values: Column, key) -> Column:
-                return let(F.col("_ratios"), lambda r: F.aggregate(values, F.lit(0.0), lambda a, x: a + F.get(r, _bucket(key(x), buckets))))
+                return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.get(r, _bucket(key(x), buckets)))
 
             grams = 2 * F.size(h) + F.size(pairs)
             llr = F.when(grams > 0, (total(h, lambda x: x) + total(w, _ending) + total(pairs, lambda x: x)) / grams).otherwise(0.0)
@@ -206,9 +221,10 @@ def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float | None
         docs.select(*carry, "text", ratios.scalar().alias("_ratios"), least.alias("_least"))
         .select(
             *carry,
-            let(words_of(text), measured).alias("_m"),
-            F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            # Named once, the ratios are put here by the optimizer; as a column all of them would be copied for each row.
+            let(F.col("_ratios"), lambda r: let(words_of(text), lambda w: measured(w, r))).alias("_m"),
+            F.length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOL_CLASS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )
         .select(*carry, "_m.n_words", "word_chars", "n_symbols", "n_dup_lines", "_m.n_repeat_words", "_m.llr", "_m.base_failed", "_m.kept")

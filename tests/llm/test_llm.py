@@ -456,6 +456,23 @@ def test_threshold_is_of_all_trusted_documents(spark):
         assert scores[i] == pytest.approx(sum(log) / sum(r["c"] for r in mine))
 
 
+def test_grams_are_counted_once_and_of_trusted_texts_alone(spark, documents, odd):
+    df = documents.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(-1, " a "), (-2, "a b"), (-3, "\u00e9\U0001f600x y\nz")], "doc_id long, text string"))
+    listed = df.select("doc_id", F.explode(quality_rules.gram_hashes(F.col("text"))).alias("h"))
+    by_row = quality_rules._grams(df.select("doc_id", quality_rules.words_of(F.col("text")).alias("words")), "doc_id")
+    assert sorted(map(str, by_row.collect())) == sorted(map(str, listed.collect()))
+    weighted = quality_rules.weighted(df, quality_rules.text_groups(df))
+    ids = df.select("doc_id").distinct().limit(9)
+    scores = quality_rules.trusted_scores(weighted, quality_rules.gram_counts(weighted, ids, 64), ids, 64)
+    dealt, scan = re.split("RepartitionByExpression", scores._jdf.queryExecution().optimizedPlan().toString())  # what is above the deal, and beneath
+    assert dealt.count("split(") == 1 and "split(" not in scan.split("LogicalRDD")[0]
+
+
+def test_ratios_are_not_copied_for_each_row(spark, documents):
+    scored = quality_rules.score_documents(documents, documents.select("doc_id").limit(5), threshold=0.0, buckets=64)
+    assert "AS _ratios" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ratio_by_hand(spark):
     texts = {1: "good clean words " * 3, 2: "spam | spam | spam |", 3: "good words", 4: "clean and good words of trust", 5: None, 6: "good words", 7: "good words"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

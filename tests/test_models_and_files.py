@@ -338,6 +338,24 @@ def test_all_pairs_are_scored_as_matrices(spark):
     assert len(ways[0]) == 50 * 49 // 2 and ways[0] == ways[1]
 
 
+def test_all_pairs_take_few_bytes_and_no_join(spark, tmp_path):
+    """Scores in order of the ids took 9 to 10 bytes a row in files. Beyond the block's bytes, and with nulls, vectors met in joins
+    whose rows grew as the square of the table."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(list(zip(rng.permutation(4000).tolist(), rng.normal(size=(4000, 64)).tolist(), strict=True)), "id long, v array<float>")
+    retrieve.pair_cosines(df, digits=6).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.where("i < j").distinct().count() == 4000 * 3999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 8 * 4000 * 3999 // 2
+    few = spark.createDataFrame([(3, [1.0, 2.0]), (1, None), (2, [1.0, None]), (None, [1.0, 1.0]), (5, [2.0, 1.0]), (4, [float("nan"), 1.0]), (3, [-1.0, 0.0])], "id long, v array<float>")
+    rows = lambda df: sorted(map(str, df.select("i", "j", "score").collect()))
+    joined = rows(retrieve.pair_scores(retrieve.neighbour_pairs(few)).withColumn("score", F.round("score", 2)))
+    for size in (1 << 20, 16):
+        pairs = retrieve.pair_cosines(few, size, digits=2)
+        assert "Join" not in pairs._jdf.queryExecution().toString()
+        assert rows(pairs) == joined and len(joined) == 14
+
+
 def test_sparse_search_reads_texts_once_for_many_queries(spark):
     """Queries of 64 MB of postings are one block, where their matrix over all terms would be many; norms and ties by brute force."""
     rng = np.random.default_rng(5)
